@@ -58,12 +58,15 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _gram_sql() -> str:
     names = ["1", *MEASURES]
-    return " UNION ALL ".join(f"SELECT '{a}' AS row, '{b}' AS col, round(sum({a}::DOUBLE * {b}), 2) AS value FROM lineitem" for i, a in enumerate(names) for b in names[i:])
+    return " UNION ALL ".join(f"SELECT '{a}' AS row, '{b}' AS col, round(sum({a}::DOUBLE * {b}) / count(*), 3) AS value FROM lineitem" for i, a in enumerate(names) for b in names[i:])
 
 
 @query(_gram_sql())
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ag.gram_rows(table(spark, sf_dir, "lineitem"), MEASURES), value=2)
+    """The Gram matrix over the number of rows."""
+    rows = ag.gram_rows(table(spark, sf_dir, "lineitem"), MEASURES)
+    n = rows.filter("row = '1' AND col = '1'").select(F.col("value").alias("n"))
+    return rows.crossJoin(F.broadcast(n)).select("row", "col", F.round(F.col("value") / F.col("n"), 3).alias("value"))
 
 
 SCORES_SQL = "s AS (SELECT l_discount * 10 AS score, (l_returnflag = 'R')::INT::DOUBLE AS y, l_extendedprice AS t, l_quantity * 1000 AS p FROM lineitem)"
