@@ -40,7 +40,7 @@ def scaler_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.struct(
                 F.lit(c).alias("name"),
                 F.coalesce(F.col(f"_{i}_0"), F.lit(0.0)).alias("mean"),
-                F.coalesce(F.sqrt(F.greatest(F.col(f"_{i}_1"), F.lit(FLOOR))), F.lit(1.0)).alias("std"),
+                F.when(F.col(f"_{i}_1").isNull(), 1.0).otherwise(F.sqrt(F.greatest(F.col(f"_{i}_1"), F.lit(FLOOR)))).alias("std"),
             )
             for i, c in enumerate(columns)
         )

@@ -41,7 +41,9 @@ def csv_scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
     Rows with more or fewer fields than the header are left out.
     """
     rows = csv_rows(spark, path)
-    well_formed = rows.filter(F.col(CORRUPT).isNull())
+    # Spark refuses a scan of nothing but the marker of bad rows, so a count needs a data column too
+    some = F.length(F.coalesce(F.col(rows.columns[0]), F.lit(""))) >= 0
+    well_formed = rows.filter(F.col(CORRUPT).isNull() & some)
     have = set(rows.columns)
     return well_formed.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c in have else F.lit("").alias(c) for c in columns))
 
