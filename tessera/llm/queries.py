@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mil_toxicity, mixing, packing, pu_quality, simhash, substring_dedup
+from . import exact_dedup, image_copies, langid, line_dedup, mil_toxicity, mixing, packing, pu_quality, simhash, substring_dedup
 from .staging import staged
 from .text import word_count
 
@@ -40,6 +40,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+
+
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures made of all vectors, and edited copies among them; queries are the ids divisible by 100."""
+    media = image_copies.media_table(table(spark, sf_dir, "embeddings"))
+    return image_copies.find_copies(media, F.col("media_id") % 100 == 0)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +69,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_copies(sizes).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all pages; the profiles are counted on all labelled documents."""
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
@@ -66,10 +81,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_image_copies": op4_image_copies,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
 
