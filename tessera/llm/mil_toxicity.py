@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, passes:
     known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     # more labels than the bound: those of the smallest md5 (a top-k, which tasks reduce before it is merged)
     known = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
-    labelled = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id"), "labelled")
+    # at most ``most`` pairs of numbers are broadcast, so that texts stay where they are
+    labelled = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id"), "labelled")
     counts = labelled.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, toxic = int(counts[0]), int(counts[1])
     if not 0 < toxic < n:

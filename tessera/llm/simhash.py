@@ -182,8 +182,9 @@ def near_pairs(fps: DataFrame, parts: list[Part], most: int = MOST_DIFFERING) ->
     probes = indexed = found = None
     for i, part in enumerate(used):
         value = F.col("fp").bitwiseAND(F.lit(part.mask))
-        flips = F.array(*(F.lit(f) for f in part.flips()))
-        one = fps.select(F.col("fp").alias("a"), F.lit(i).alias("part"), F.explode(F.transform(flips, lambda f, v=value: v.bitwiseXOR(f))).alias("value"))
+        flips = F.array(*(F.lit(f).cast("long") for f in part.flips()))
+        one = fps.select(F.col("fp").alias("a"), value.alias("own"), F.explode(flips).alias("flip"))
+        one = one.select("a", F.lit(i).alias("part"), F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
         two = fps.select(F.col("fp").alias("b"), F.lit(i).alias("part"), value.alias("value"))
         probes, indexed = (one, two) if probes is None else (probes.union(one), indexed.union(two))
         earlier = [F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(q.mask))) > q.threshold for q in used[:i]]
