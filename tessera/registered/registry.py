@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from ..spec import FeatureSpec
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
