@@ -6,7 +6,7 @@ import atexit
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 _written: list[str] = []
 
@@ -18,6 +18,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     The files are removed when the Python process ends.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     if not _written:
