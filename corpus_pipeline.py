@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    decided = staged(index.ingest(docs), "decided")
-    index.drop()
+    decided = index.ingest(docs)
+    index.drop()  # what the decisions need of it is written by then
     return exact_dedup.keep_rows(docs, decided)
 
 

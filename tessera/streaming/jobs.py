@@ -75,7 +75,7 @@ def reuse_with_ttl(stream: DataFrame, key: str, ttl_ms: int) -> DataFrame:
             pass
 
     grouped = stream.select(F.col(key).alias("key")).groupBy("key")
-    return grouped.transformWithStateInPandas(Reuse(), "key string, requests bigint, computed bigint", "Append", "None")
+    return grouped.transformWithStateInPandas(Reuse(), "key string, requests bigint, computed bigint", "Append", "ProcessingTime")
 
 
 def profile_batches(stream: DataFrame, columns: Sequence[str], path: str, checkpoint: str) -> DataStreamWriter:

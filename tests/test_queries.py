@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import time
 
 import pytest
 
@@ -86,3 +87,24 @@ def test_batches_run_again_replace_themselves(spark, tmp_path):
     for state in ("a", "b"):  # a second run without the first one's progress writes the same batches again
         jobs.run_available(jobs.append_batches(jobs.file_stream(spark, schema, str(tmp_path / "in"), 100), lambda df: df, str(tmp_path / "out"), str(tmp_path / state)))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_results_are_reused_within_their_time_to_live(spark, tmp_path):
+    from tessera.streaming import jobs
+
+    for i in range(3):
+        spark.range(12).selectExpr("concat('k', id % 4) AS key").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    try:
+        stream = jobs.file_stream(spark, "key string", str(tmp_path / "in"))
+        writer = jobs.reuse_with_ttl(stream, "key", 600_000).writeStream.format("memory").queryName("reuse").outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+        query = writer.start()
+        deadline = time.time() + 60
+        while time.time() < deadline and sum(p["numInputRows"] for p in query.recentProgress) < 36:
+            time.sleep(0.5)
+        query.stop()
+        out = spark.table("reuse")
+        rows = out.groupBy("key").agg({"requests": "sum", "computed": "sum"}).collect()
+        assert sorted((r["key"], r["sum(requests)"], r["sum(computed)"]) for r in rows) == [(f"k{i}", 9, 1) for i in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
