@@ -35,9 +35,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Takes the table into a new index; the index is dropped again when its result is written."""
+    """Takes the table into a new index, which is dropped again: what the result needs of it is written by then."""
     index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    decided = staged(index.ingest(table(spark, sf_dir, "documents")), "decided")
+    decided = index.ingest(table(spark, sf_dir, "documents"))
     index.drop()
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
