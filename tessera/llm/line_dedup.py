@@ -1,19 +1,20 @@
 """Fuzzy deduplication of lines: MinHash over character shingles, native throughout.
 
-1. Lines are cut, lower-cased and trimmed; equal ones are grouped, so each distinct line is worked on once.
+1. Lines are cut, lower-cased and trimmed; equal ones have one key and one first occurrence, which
+   stands for them from then on.
 2. Signature: every shingle of ``SHINGLE`` characters is hashed once; ``BANDS * ROWS`` minima of the
    hash XORed with fixed numbers are as many MinHash values.  Shingles are generated, hashed and
-   reduced within one stage, as lines are already dealt by their key.
+   reduced within one stage; only minima are shuffled, not texts.
 3. Banding: ``ROWS`` minima make a bucket.  Lines of Jaccard similarity 0.8 meet in at least one of
-   the ``BANDS`` buckets with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.99.
+   the ``BANDS`` buckets with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.999.
 4. Verification is exact, on sets of shingles.  In each bucket all lines are compared with the
    first one; those that are not similar to it are also compared with every line of the bucket.  A
    family of similar lines so takes a pair a line, not all pairs, and no link between components is lost.
 5. Components by distributed union-find; of each, the first line (smallest document, then place) is kept.
 
 Cases: null text has one empty line; lines without visible characters are never removed; shorter lines
-than a shingle are one shingle; rows of the same id and text share all their lines; a null id is the
-smallest; an empty table gives an empty result; other columns are not looked at.
+than a shingle are one shingle; rows that share an id are versions of one document (equal places are one
+place); a null id is the smallest; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from .components import connected_components
 from .staging import staged
 
 SHINGLE = 8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 10, 3
 SIMILAR = 0.8
 
 #: Fixed by their seed: the numbers that make many hash functions of one.
 _rng = random.Random(20)
-XORS = [_rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+XORS = [_rng.getrandbits(31) for _ in range(BANDS * ROWS)]
 UNIT = 2  # bytes of a UTF-16 unit
+NO_ID = -(1 << 63)
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -51,47 +53,56 @@ def _starts(code: Column) -> Column:
     return F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0)))
 
 
-def shingle_set(line: Column) -> Column:
-    """Distinct hashes of the shingles of a line."""
-    code = F.encode(line, "UTF-16BE")
+def shingle_set(code: Column) -> Column:
+    """Distinct hashes of the shingles of a coded line.  ``code`` must be a plain column: the lambda evaluates it for each shingle."""
     return F.array_distinct(F.transform(_starts(code), lambda i: F.xxhash64(_shingle_at(code, i))))
 
 
-def signatures(distinct: DataFrame) -> DataFrame:
-    """node with the bucket of each band (array of long), for ``distinct`` (k1, k2, node, line)."""
-    coded = distinct.select("k1", "k2", "node", F.encode("line", "UTF-16BE").alias("code"))
-    shingles = coded.select("k1", "k2", F.col("node.doc_id").alias("doc_id"), F.col("node.line_no").alias("line_no"), "code", F.explode(_starts(F.col("code"))).alias("i"))
-    hashed = shingles.select("k1", "k2", "doc_id", "line_no", F.xxhash64(_shingle_at(F.col("code"), F.col("i"))).alias("h"))
+def buckets(keyed: DataFrame) -> DataFrame:
+    """k1, k2, bucket: the bucket of each band for each distinct line of ``keyed`` (k1, k2, line).
+
+    Equal lines have equal minima, so they are reduced to one row in the same step.
+    """
+    coded = keyed.select("k1", "k2", F.encode("line", "UTF-16BE").alias("code"))
+    shingles = coded.select("k1", "k2", "code", F.explode(_starts(F.col("code"))).alias("i"))
+    # 31 bits are enough for a minimum, and three of them make a bucket; the upper half of the numbers packs well
+    low = shingles.select("k1", "k2", F.xxhash64(_shingle_at(F.col("code"), F.col("i"))).bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(XORS)]
-    smallest = hashed.groupBy("k1", "k2", "doc_id", "line_no").agg(*minima)
+    smallest = low.groupBy("k1", "k2").agg(*minima)
     bands = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)]
-    return smallest.select(F.struct("doc_id", "line_no", "k1").alias("node"), F.array(*bands).alias("buckets"))
+    return smallest.select("k1", "k2", F.explode(F.array(*bands)).alias("bucket"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, codes: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) of lines whose Jaccard similarity, on their exact sets, is high enough."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    met = pairs.join(a, "a").join(b, "b")
-    small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return met.filter(small >= large * SIMILAR).filter(common >= (F.size("sa") + F.size("sb") - common) * SIMILAR).drop("sa", "sb")
+    a, b = codes.select(F.col("node").alias("a"), F.col("code").alias("ca")), codes.select(F.col("node").alias("b"), F.col("code").alias("cb"))
+    met = pairs.join(a, "a").join(b, "b").withColumns({"sa": shingle_set(F.col("ca")), "sb": shingle_set(F.col("cb"))})
+    met = met.withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return met.filter(F.col("common") >= (F.size("sa") + F.size("sb") - F.col("common")) * SIMILAR).drop("ca", "cb", "sa", "sb", "common")
+
 
+def links(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b): enough pairs of similar lines to connect all that are similar.
 
-def links(distinct: DataFrame) -> DataFrame:
-    """(a, b): enough pairs of similar lines to connect all that are similar."""
-    buckets = signatures(distinct).select("node", F.explode("buckets").alias("bucket"))
+    ``keyed``: doc_id, line_no, line, k1, k2 of all lines; ``firsts``: k1, k2, node of distinct ones.
+    """
     group = Window.partitionBy("bucket")
-    met = buckets.withColumns({"n": F.count("*").over(group), "leader": F.min("node").over(group)}).filter("n > 1")
+    met = buckets(keyed).join(firsts, ["k1", "k2"]).select("bucket", "node")
+    met = met.withColumns({"n": F.count("*").over(group), "leader": F.min("node").over(group)}).filter("n > 1")
     met = staged(met.select("bucket", "node", "leader"), "buckets")
-    seen = met.select("node").distinct()
-    sets = staged(distinct.join(seen, "node", "left_semi").select("node", shingle_set(F.col("line")).alias("shingles")), "shingles")
+    seen = met.select("node.doc_id", "node.line_no").distinct()
+    # a null id is equal to itself here
+    id = F.coalesce("doc_id", F.lit(NO_ID))
+    texts = keyed.select(id.alias("doc_id"), "line_no", "line").join(seen.select(id.alias("doc_id"), "line_no"), ["doc_id", "line_no"], "left_semi")
+    node = F.struct(F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "line_no")
+    codes = staged(texts.select(node.alias("node"), F.encode("line", "UTF-16BE").alias("code")).dropDuplicates(["node"]), "codes")
     to_leader = met.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    by_leader = staged(_similar(to_leader, sets), "by-leader")
+    by_leader = staged(_similar(to_leader, codes), "by-leader")
     apart = met.filter("node <> leader").join(by_leader.select(F.col("a").alias("node"), F.col("b").alias("leader")), ["node", "leader"], "left_anti")
     others = met.filter("node <> leader").select("bucket", F.col("node").alias("other"))
     rest = apart.join(others, "bucket").filter("node <> other")
     rest = rest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return by_leader.select("a", "b").union(_similar(rest, sets).select("a", "b"))
+    return by_leader.select("a", "b").union(_similar(rest, codes).select("a", "b"))
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
@@ -99,12 +110,10 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     its component, and kept (blank lines are always kept and are their own component)."""
     keyed = lines(docs).select("doc_id", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("other"), "line").alias("k2"))
     visible = keyed.filter("line <> ''")
-    grouped = visible.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("line").alias("line"))
-    distinct = staged(grouped.select("k1", "k2", F.struct("first.doc_id", "first.line_no", "k1").alias("node"), "line"), "lines")
-    roots = connected_components(links(distinct))
-    rooted = distinct.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+    firsts = staged(visible.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("node")), "firsts")
+    roots = connected_components(links(visible, firsts))
     # written, so that the join below shuffles both sides plainly and can split a line that very many documents have
-    rooted = staged(rooted, "roots")
+    rooted = staged(firsts.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root")), "roots")
     found = visible.select("doc_id", "line_no", "k1", "k2").join(rooted, ["k1", "k2"]).select("doc_id", "line_no", F.col("root.doc_id").alias("first_doc_id"), F.col("root.line_no").alias("first_line_no"))
     blank = keyed.filter("line = ''").select("doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
     same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
