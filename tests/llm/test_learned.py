@@ -195,11 +195,12 @@ def test_image_copies(spark):
     media = image_copies.media_table(vectors)
     same = media.filter("media_id = 8").select((F.col("media_id") + 900_001).alias("media_id"), "width", "height", "pixels")
     broken = spark.createDataFrame([(None, 2, 2, b"abcd"), (950_000, 2, 2, None), (950_001, 3, 3, b"ab"), (950_002, 2, 2, b"abcd")], "media_id long, width int, height int, pixels binary")
-    rows = image_copies.find_copies(media.union(same).union(broken), F.col("media_id") % 20 == 0).collect()
-    pairs = {(r["query_id"], r["media_id"]) for r in rows if r["inliers"] is not None}
-    assert (8, 900_009) in {(r["query_id"], r["media_id"]) for r in rows if r["inliers"] is None}
+    rows = image_copies.find_copies(media.union(same).union(broken), (F.col("media_id") % 20 == 0) | (F.col("media_id") == 8)).collect()
+    pairs = {(r["query_id"], r["media_id"]) for r in rows if not r["same_pixels"]}
+    assert {(r["query_id"], r["media_id"]) for r in rows if r["same_pixels"]} == {(8, 900_009)}
+    assert all(r["inliers"] >= image_copies.INLIERS for r in rows if not r["same_pixels"])
     ids = [r["vec_id"] for r in vectors.select("vec_id").collect() if r["vec_id"] % 5 == 0]
-    planted = {(4 * v, 4 * v + (v + 1) % 4) for v in ids if (v + 1) % 4}
+    planted = {(4 * v, 4 * v + (v + 1) % 4) for v in [2, *ids] if (v + 1) % 4}
     assert len(planted & pairs) >= 0.95 * len(planted)
     assert len(pairs - planted) <= 0.02 * len(planted)
     assert image_copies.find_copies(media.limit(0), F.lit(True)).count() == 0
