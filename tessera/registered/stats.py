@@ -16,7 +16,7 @@ def _profile_sql(rel: str = "lineitem") -> str:
     parts = []
     for c in [*MEASURES, "l_gap"]:
         parts.append(
-            f"SELECT '{c}' AS col, count({c}) AS n, count(*) - count({c}) AS nulls, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 6) AS null_pct, round(avg({c}), 6) AS mean, round(var_samp({c}), 4) AS variance, "
+            f"SELECT '{c}' AS col, count({c}) AS n, count(*) - count({c}) AS nulls, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 6) AS null_pct, round(avg({c}), 7) AS mean, round(var_samp({c}), 4) AS variance, "
             f"round(stddev_samp({c}), 6) AS std, min({c}) AS min, max({c}) AS max FROM x"
         )
     return f"WITH x AS (SELECT *, nullif(l_tax, 0) AS l_gap FROM {rel}) " + " UNION ALL ".join(parts)
@@ -29,7 +29,7 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_profile_sql())
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ag.column_profile(_measured(spark, sf_dir), [*MEASURES, "l_gap"]), null_pct=6, mean=6, variance=4, std=6)
+    return rounded(ag.column_profile(_measured(spark, sf_dir), [*MEASURES, "l_gap"]), null_pct=6, mean=7, variance=4, std=6)
 
 
 @query(_profile_sql())
@@ -38,7 +38,7 @@ def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _measured(spark, sf_dir)
     states = [ag.profile_state(items.filter(F.col("l_linenumber") % 3 == b), [*MEASURES, "l_gap"]) for b in range(3)]
     merged = ag.merge_states(states[0].unionByName(states[1]).unionByName(states[2]))
-    return rounded(ag.finish_profile(merged), null_pct=6, mean=6, variance=4, std=6)
+    return rounded(ag.finish_profile(merged), null_pct=6, mean=7, variance=4, std=6)
 
 
 @query("SELECT CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity >= 45 THEN 9 ELSE floor((l_quantity - 5) / 5)::BIGINT + 1 END::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1")
