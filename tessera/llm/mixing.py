@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import ranked
+from .staging import staged
 from .text import word_count
 
 WEIGHTS = (5, 2, 1)
@@ -77,7 +78,8 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """
     key = ("doc_id", "source", "_mix_size")
     sized = docs.withColumn("_mix_size", word_count(F.col("text")))
-    sizes = sized.select("doc_id", "source", F.col("_mix_size").alias("size"))
+    # written, so that words are counted twice at most: here, and where texts meet their copies
+    sizes = staged(sized.select("doc_id", "source", F.col("_mix_size").alias("size")), "sizes")
     # rows that agree in id, source and size may take different numbers of copies; which gets which is the same
     copies = (
         taken_copies(sizes, seed)
