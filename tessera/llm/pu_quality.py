@@ -52,7 +52,7 @@ PRIOR_DEFAULT, PRIOR_LOW, PRIOR_HIGH = 0.5, 0.05, 0.98
 PRIOR_SHARE = 0.4
 BINS = 400
 
-_LINE_END = re.compile(rb"[.!?:;)\"']\s*$")
+_LINE_END = b".!?:;)\"'"
 _RUN = re.compile(rb"([^\sA-Za-z0-9\x80-\xff])\1+")
 _CLASSES = np.zeros(256, np.uint8)
 for _c in range(256):
@@ -60,6 +60,12 @@ for _c in range(256):
     _CLASSES[_c] = 1 if "a" <= _ch <= "z" or _c >= 128 else 2 if "A" <= _ch <= "Z" else 3 if _ch.isdigit() and _c < 128 else 4 if _ch in " \t\r\x0b\x0c" else 5 if _ch == "\n" else 6 if _ch in ".,;:'\"-()?" else 7
 
 
+def packed_size(text: bytes) -> int:
+    """Compressed bytes of the whole text, which is fed in blocks so that the output is never held at once."""
+    packer, view = zlib.compressobj(1), memoryview(text)
+    return sum(len(packer.compress(view[i : i + 65536])) for i in range(0, len(text), 65536)) + len(packer.flush())
+
+
 def features(text: bytes) -> list[float]:
     """Figures about the shape of a UTF-8 text; none depends on a language."""
     n = len(text)
@@ -83,7 +89,7 @@ def features(text: bytes) -> list[float]:
     odd_end = sum(c for x, c in marks.items() if _CLASSES[x[0]] == 7 and x[0] != 33)
     bang = marks.get(b"!", 0)
     top = counts.most_common(3)
-    packed = len(zlib.compress(text[:65536], 1)) / min(n, 65536)
+    packed = packed_size(text) / n
     digits = [c for c in range(48, 58)]
     return [
         np.log1p(n), np.log1p(len(words)), np.log1p(len(lines)),
@@ -93,7 +99,7 @@ def features(text: bytes) -> list[float]:
         upper / w, starts / w, plain / w, odd_end / w, bang / w,
         top[0][1] / w if top else 0.0, sum(c for _, c in top) / w,
         sum(len(x) * c for x, c in line_counts.items() if c > 1) / n, len(line_counts) / m,
-        sum(bool(_LINE_END.search(x[-8:])) for x in lines) / m,
+        sum(x.rstrip()[-1] in _LINE_END for x in lines) / m,
         sum(x[:1] in b"-*#|>" or x[:1] == b"\xe2" for x in lines) / m,
         np.log1p(n / m), packed, min(len(_RUN.findall(text)) / w, 1.0),
         text.count(b"|") / w, text.count(b"<") / w, text.count(b"{") / w, text.count(b"http") / w * 10, text.count(b"@") / w * 10,

@@ -98,6 +98,17 @@ def test_number_of_features():
         assert len(x) == pu_quality.N_FEATURES and np.isfinite(x).all()
 
 
+def test_features_see_whole_texts_and_lines():
+    rng = np.random.default_rng(1)
+    noise = bytes(rng.integers(97, 123, 200_000).astype(np.uint8))
+    junk = b"junk " * 40_000
+    packed = [pu_quality.features(t)[27] for t in (noise, noise + junk, junk + noise, junk)]
+    assert packed[0] > 1.5 * packed[1] and packed[2] > 10 * packed[3] and abs(packed[1] - packed[2]) < 0.05
+    for text in (b"a few words", noise[:70_000], junk):
+        assert pu_quality.packed_size(text) == len(zlib.compress(text, 1))
+    assert pu_quality.features(b"One line." + b" " * 20 + b"\nTwo lines!\t\r\nthree")[24] == pytest.approx(2 / 3)
+
+
 def test_prior_from_unlabelled_documents(spark):
     """Without labelled bad documents the share of good ones is found from good and all documents."""
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
