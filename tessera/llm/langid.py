@@ -6,7 +6,8 @@ For each page the log-odds of the languages are the sum of
   all labelled documents; trigrams overlap and repeat, so a share ``TEMPER`` of it counts, and at
   most that of ``FULL_TEXT`` trigrams;
 * the markup: how often pages of a language declare what this page declares (its html lang, a
-  language we know, another one, or none), estimated from all pages;
+  language we know, another one, or none), estimated from all pages; html tags are looked for in the
+  whole page, outside comments, scripts and styles;
 * the address: a prior of the host, smoothed towards its domain, that towards its suffix (the last
   label), and that towards all pages.  A level with few pages says little and leaves most to the one
   above it.
@@ -42,7 +43,9 @@ SMOOTHING = 5.0
 LEVELS = ("host", "domain", "suffix")
 
 _HIDDEN = re.compile(rb"<(script|style|nav|aside|footer|header|noscript)\b.*?</\1\s*>|<!--.*?-->|<div[^>]*class=\"?ad\b.*?</div>|<[^>]*>|&[a-z#0-9]+;", re.I | re.S)
-_DECLARED = re.compile(rb"<html[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})", re.I)
+#: Comments, scripts and styles, which may quote html tags, end at the text's end if nowhere before; so each byte is passed once.
+_HTML_TAG = re.compile(rb"<(?:!--(?:-?>|.*?(?:-->|\Z))|(script|style)\b.*?(?:</\1\s*>|\Z)|html([^>]*))", re.I | re.S)
+_LANG = re.compile(rb"\blang\s*=\s*(?:[\"']\s*)?([a-z]{2,3})", re.I)
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -60,6 +63,15 @@ def visible_text(html: bytes) -> bytes:
     return _HIDDEN.sub(b" ", html)
 
 
+def declared_language(html: bytes) -> bytes | None:
+    """Lower-case code of the first html tag with a lang, wherever in the page it is."""
+    for tag in _HTML_TAG.finditer(html):
+        m = _LANG.search(tag.group(2) or b"")
+        if m:
+            return m.group(1).lower()
+    return None
+
+
 def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages by name and the log-probability of each trigram bucket in them, counted over all ``docs`` (text, lang).
 
@@ -96,8 +108,7 @@ def text_evidence(pages: DataFrame, names: list[str], logs: np.ndarray) -> DataF
             for batch in slices(whole, "html"):
                 declared, values = [], np.zeros((batch.num_rows, k))
                 for i, html in enumerate(as_bytes(batch, "html")):
-                    m = _DECLARED.search(html[:4096])
-                    code = m.group(1).lower() if m else None
+                    code = declared_language(html)
                     declared.append("none" if code is None else code.decode() if code in known else "other")
                     grams = trigrams(visible_text(html))
                     if len(grams):

@@ -192,6 +192,16 @@ def test_language_of_pages(spark):
     assert langid.identify(pages.limit(0), docs).count() == 0 and langid.identify(pages, docs.limit(0)).count() == 0
 
 
+def test_declared_language_anywhere_in_the_page(spark):
+    far = "<!-- " + "server output " * 1000 + "-->" + " " * 5000 + "<HTML class=x\nLang = 'DE-at'><p>der hund"
+    docs = spark.createDataFrame([("the cat sat on the mat " * 5, "en"), ("der hund und die katze " * 5, "de")], "text string, lang string")
+    pages = spark.createDataFrame([(1, None, far), (2, None, "<p>the cat"), (3, None, "<html><script>'<html lang=de>'</script><!-- <html lang=de> --><p>the cat")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["declared"] for r in langid.identify(pages, docs).collect()} == {1: "de", 2: "none", 3: "none"}
+    for awkward in (b"<!--" * 300_000, b"<script>" * 200_000, b"<html " * 200_000, b"<html lang=" + b" " * 1_000_000, b"<html " + b"lang " * 200_000):
+        assert langid.declared_language(awkward) is None
+    assert langid.declared_language(b"<!--><html><html lang=fr>") == b"fr"
+
+
 def test_host_prior_decides_where_text_is_silent(spark):
     docs = spark.createDataFrame([("the cat sat on the mat and then the dog ran " * 5, "en"), ("der hund und die katze sind auf der matte " * 5, "de")], "text string, lang string")
     rows = [(i, "http://a.example.org/x", "<p>der hund und die katze sind auf der matte") for i in range(20)] + [(i, "http://b.example.org/x", "<p>the cat sat on the mat and then the dog") for i in range(20, 40)]
