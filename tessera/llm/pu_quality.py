@@ -36,11 +36,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .text import as_bytes, held_out, slices
+from .text import as_bytes, held_out, slices, text_digest
 
 THRESHOLD = 0.7
 STEPS = 10
@@ -112,17 +112,19 @@ def features(text: bytes) -> list[float]:
 N_FEATURES = 40
 
 
-def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id, x (array of float) for each row of ``docs`` (doc_id, text)."""
+def document_features(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, x (array of float) and the ``carried`` columns for each row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    more = rows.columns[2:]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 x = np.array([features(t) for t in as_bytes(batch, "text")], np.float32).reshape(batch.num_rows, N_FEATURES)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, *(batch.column(c) for c in more)], names=["doc_id", "x", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, x array<float>")
+    return rows.mapInArrow(each, ", ".join(["doc_id long, x array<float>", *(f"{c} {t}" for c, t in rows.dtypes[2:])]))
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -271,26 +273,31 @@ def audited_prior(labels: DataFrame) -> float | None:
     return float(np.clip(share - np.sqrt(share * (1 - share) / n), PRIOR_LOW, PRIOR_HIGH))
 
 
-def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text).
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carried: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the ``carried`` columns for each row of ``docs`` (doc_id, text).
 
     ``labels`` (doc_id, quality): quality 1 marks the trusted good documents, unless held out.
     """
     trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     trusted = trusted.select("doc_id", F.lit(True).alias("good")).distinct()
-    table = staged(document_features(docs).join(trusted, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))), "features")
+    found = document_features(docs, *carried)
+    more = found.columns[2:]
+    table = staged(found.join(trusted, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))), "features")
     model = train(table, audited_prior(labels))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.score(_matrix(batch)) if model else np.full(batch.num_rows, PRIOR_DEFAULT)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), *(batch.column(c) for c in more)], names=["doc_id", "score", *more])
 
-    scores = table.select("doc_id", "x").mapInArrow(each, "doc_id long, score double")
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kinds = dict(found.dtypes)
+    scores = table.select("doc_id", "x", *more).mapInArrow(each, ", ".join(["doc_id long, score double", *(f"{c} {kinds[c]}" for c in more)]))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that are not rejected.  Rows with a null id cannot be matched and are kept."""
-    rejected = scored(docs, labels, threshold).filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Rows of ``docs`` that are not rejected, told apart by id and digest of the text: null and repeated ids are rows like any other."""
+    rejected = scored(docs, labels, threshold, (text_digest(F.col("text")).alias("digest"),)).filter("predicted = 0")
+    rejected = rejected.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_text")).distinct()
+    marked = docs.withColumn("_digest", text_digest(F.col("text")))
+    return marked.join(rejected, marked["doc_id"].eqNullSafe(rejected["_id"]) & (marked["_digest"] == rejected["_text"]), "left_anti").select(*docs.columns)

@@ -30,12 +30,12 @@ from math import inf
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .staging import staged
-from .text import as_bytes, slices
+from .text import as_bytes, slices, text_digest
 
 BITS = 64
 SEED = 42
@@ -64,16 +64,18 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp for every row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, fp and the ``carried`` columns for every row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    more = rows.columns[2:]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 fps = pa.array([fingerprint(t) for t in as_bytes(batch, "text")], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, *(batch.column(c) for c in more)], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
+    return rows.mapInArrow(each, ", ".join(["doc_id long, fp long", *(f"{c} {t}" for c, t in rows.dtypes[2:])]))
 
 
 @dataclass
@@ -200,21 +202,34 @@ def near_pairs(fps: DataFrame, parts: list[Part], most: int = MOST_DIFFERING) ->
     return probes.join(indexed, same & near & found).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable)."""
-    fps = staged(fingerprints(docs), "fingerprints")
+def fingerprint_classes(fps: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
+    """fp, root (a fingerprint, one a component), component_id for the distinct fingerprints of ``fps`` (doc_id, fp)."""
     distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     links = near_pairs(distinct.select("fp"), plan_parts(distinct.select("fp"), most), most)
     roots = connected_components(links)
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = staged(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
+    return staged(rooted.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable)."""
+    fps = staged(fingerprints(docs), "fingerprints")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return fps.join(classes, "fp").select("doc_id", hexed, "component_id")
+    return fps.join(fingerprint_classes(fps, most).drop("root"), "fp").select("doc_id", hexed, "component_id")
 
 
 def keep_one_each(docs: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
-    """Rows of ``docs`` whose id is that of their component; one shuffle of the texts."""
-    decided = near_duplicates(docs, most)
-    stay = decided.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    """One row of ``docs`` for each component: of its smallest id (null only if it has no other), then of its smallest digest.
+
+    Rows are told apart by id and digest of the text, so null and repeated ids are rows like any other; of rows
+    that agree in both, one stays.  One shuffle of the texts.
+    """
+    fps = staged(fingerprints(docs, text_digest(F.col("text")).alias("digest")), "fingerprints")
+    classes = fingerprint_classes(fps.select("doc_id", "fp"), most)
+    firsts = fps.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest")).alias("first"))
+    stay = firsts.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_text"))
+    marked = docs.withColumn("_digest", text_digest(F.col("text")))
+    joined = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_digest"] == stay["_text"]), "left_semi")
+    one = F.row_number().over(Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest").orderBy("_digest"))
+    return joined.withColumn("_n", one).filter("_n = 1").select(*docs.columns)

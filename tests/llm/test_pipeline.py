@@ -9,7 +9,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tessera.llm import pu_quality  # noqa: E402
+from tessera.llm import pu_quality, simhash  # noqa: E402
 from tessera.llm.staging import staged  # noqa: E402
 
 from .test_ops import brute_fingerprint, lower  # noqa: E402
@@ -92,3 +92,29 @@ def test_packing_stage(spark, stages):
     again = corpus_pipeline.run(spark, SF)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, stages["best-fit packing"].select(columns).collect()))
+
+
+def test_null_and_repeated_ids_in_the_near_stage(spark):
+    words = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(5)]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (1, words[2]), (1, words[2]), (1, words[2].upper()), (1, words[3]), (2, words[3]), (None, words[3]), (3, words[4]), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in simhash.keep_one_each(docs).collect()), key=str)
+    assert kept == sorted([(None, words[0]), (None, words[1]), (1, words[2]), (1, words[3]), (3, words[4]), (None, "")], key=str)
+
+
+def test_null_and_repeated_ids_in_the_quality_stage(spark, stages):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    text = {r["doc_id"]: r["text"] for r in stages["input"].collect()}
+    verdict = {r["doc_id"]: r["predicted"] for r in pu_quality.scored(stages["input"], labels).collect()}
+    bad = [i for i, p in sorted(verdict.items()) if not p][0]
+    good = [i for i, p in sorted(verdict.items()) if p][0]
+    # the id of the good document also has the bad one's text, and both texts come without an id
+    more = spark.createDataFrame([(good, text[bad]), (None, text[bad]), (None, text[good])], "doc_id long, text string")
+    docs = stages["input"].select("doc_id", "text").union(more)
+    fresh = pu_quality.scored(docs, labels)
+    scores = {(r["doc_id"], r["score"]): r["predicted"] for r in fresh.collect()}
+    assert len({p for (i, _), p in scores.items() if i is None}) == 2
+    kept = [(r["doc_id"], r["text"]) for r in pu_quality.keep_good(docs, labels).collect()]
+    assert (None, text[good]) in kept and (None, text[bad]) not in kept
+    assert (good, text[good]) in kept and (good, text[bad]) not in kept
+    assert len(kept) == fresh.filter("predicted = 1").count()
