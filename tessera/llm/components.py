@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import release, staged
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(smallest, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b")))
-        edges = staged(small.filter("a <> b").distinct(), "links")
+        earlier, edges = edges, staged(small.filter("a <> b").distinct(), "links")
+        release(earlier)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break

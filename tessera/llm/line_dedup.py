@@ -1,108 +1,141 @@
 """Fuzzy deduplication of lines: MinHash over character shingles, native throughout.
 
-1. Lines are cut, lower-cased and trimmed; equal ones have one key and one first occurrence, which
-   stands for them from then on.
-2. Signature: every shingle of ``SHINGLE`` characters is hashed once; ``BANDS * ROWS`` minima of the
-   hash XORed with fixed numbers are as many MinHash values.  Shingles are generated, hashed and
-   reduced within one stage; only minima are shuffled, not texts.
-3. Banding: ``ROWS`` minima make a bucket.  Lines of Jaccard similarity 0.8 meet in at least one of
-   the ``BANDS`` buckets with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS, over 0.999.
-4. Verification is exact, on sets of shingles.  In each bucket all lines are compared with the
-   first one; those that are not similar to it are also compared with every line of the bucket.  A
-   family of similar lines so takes a pair a line, not all pairs, and no link between components is lost.
+1. Lines are cut, trimmed of white space (space, tab, carriage return, vertical tab, form feed) and
+   lower-cased; equal ones have one 128-bit key and one first occurrence, and are one node from then on.
+2. Signature: every shingle of ``SHINGLE`` UTF-16 units is hashed once; ``MINIMA`` minima of the hash
+   XORed with fixed numbers are as many MinHash values.  Shingles are generated, hashed and reduced within
+   one stage, ``RUN`` of them a row; only minima are shuffled, not texts.
+3. Banding: ``BANDS`` groups of ``ROWS`` minima make a bucket each.  Lines of Jaccard similarity 0.8 meet
+   in at least one bucket with a chance of 0.995, those of 0.85 with 0.999 (simulated; each minimum serves
+   in one or two bands).
+4. Verification is exact, on sets of the hashes (32 bits) of all shingles, which are made once a line, after a
+   comparison of the sets' sizes.  In each bucket all lines are compared with the first one, and components are
+   made of the links found.  Where a bucket then holds several components, the lines outside its first line's
+   component are compared with the bucket's lines of other components.  So a family of similar lines takes a
+   pair a line, lines that are connected already are not compared again, and no link between components is lost.
+   Lines of one bucket that are alike but less than 0.8 (a family of near misses) still take a pair for every two of them.
 5. Components by distributed union-find; of each, the first line (smallest document, then place) is kept.
 
-Cases: null text has one empty line; lines without visible characters are never removed; shorter lines
-than a shingle are one shingle; rows that share an id are versions of one document (equal places are one
-place); a null id is the smallest; an empty table gives an empty result; other columns are not looked at.
+Cases: null text has one empty line; lines of white space only are never removed; shorter lines than a shingle are one
+shingle; rows that share an id are versions of one document (equal places are one place); a null id is the smallest;
+an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import staged
+from .staging import release, staged
 
 SHINGLE = 8
-BANDS, ROWS = 10, 3
-SIMILAR = 0.8
+#: Shingles that are hashed in one row.
+RUN = 4
+MINIMA, BANDS, ROWS = 32, 12, 4
+#: Least Jaccard similarity, as a fraction.
+SIMILAR = (4, 5)
 
 #: Fixed by their seed: the numbers that make many hash functions of one.
 _rng = random.Random(20)
-XORS = [_rng.getrandbits(31) for _ in range(BANDS * ROWS)]
+XORS = [_rng.getrandbits(31) for _ in range(MINIMA)]
+#: Minima of each band: neighbours first, then those a quarter of all apart.
+BAND_ROWS = ([[ROWS * b + r for r in range(ROWS)] for b in range(MINIMA // ROWS)] + [[b + MINIMA // ROWS * r for r in range(ROWS)] for b in range(MINIMA // ROWS)])[:BANDS]
 UNIT = 2  # bytes of a UTF-16 unit
+WHITE = " \t\r\x0b\x0c"
 NO_ID = -(1 << 63)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line as compared, for every line of ``docs`` (doc_id, text)."""
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return cut.select("doc_id", "line_no", F.lower(F.trim("line")).alias("line"))
+    return cut.select("doc_id", "line_no", F.lower(F.trim("line", F.lit(WHITE))).alias("line"))
 
 
 def _shingle_at(code: Column, i: Column) -> Column:
     return F.substring(code, i * UNIT + 1, F.lit(SHINGLE * UNIT))
 
 
-def _starts(code: Column) -> Column:
-    n = (F.octet_length(code) / UNIT).cast("int")
-    return F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0)))
+def _last(code: Column) -> Column:
+    """Where the last shingle starts."""
+    return F.greatest((F.octet_length(code) / UNIT).cast("int") - SHINGLE, F.lit(0))
 
 
 def shingle_set(code: Column) -> Column:
     """Distinct hashes of the shingles of a coded line.  ``code`` must be a plain column: the lambda evaluates it for each shingle."""
-    return F.array_distinct(F.transform(_starts(code), lambda i: F.xxhash64(_shingle_at(code, i))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(code)), lambda i: F.xxhash64(_shingle_at(code, i)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
-    """k1, k2, bucket: the bucket of each band for each distinct line of ``keyed`` (k1, k2, line).
+    """k1, bucket: the bucket of each band for each distinct line of ``keyed`` (k1, k2, line).
 
     Equal lines have equal minima, so they are reduced to one row in the same step.
     """
-    coded = keyed.select("k1", "k2", F.encode("line", "UTF-16BE").alias("code"))
-    shingles = coded.select("k1", "k2", "code", F.explode(_starts(F.col("code"))).alias("i"))
-    # 31 bits are enough for a minimum, and three of them make a bucket; the upper half of the numbers packs well
-    low = shingles.select("k1", "k2", F.xxhash64(_shingle_at(F.col("code"), F.col("i"))).bitwiseAND(F.lit(0x7FFFFFFF)).alias("h"))
-    minima = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"m{i}") for i, x in enumerate(XORS)]
-    smallest = low.groupBy("k1", "k2").agg(*minima)
-    bands = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)]
-    return smallest.select("k1", "k2", F.explode(F.array(*bands)).alias("bucket"))
+    coded = keyed.select("k1", "k2", F.encode("line", "UTF-16BE").alias("code")).withColumn("last", _last(F.col("code")))
+    runs = coded.select("k1", "k2", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(RUN))).alias("i"))
+    # 31 bits are enough for a minimum, as several of them make a bucket; a run's end repeats the last shingle
+    hashes = [F.xxhash64(_shingle_at(F.col("code"), F.least(F.col("i") + j, F.col("last")))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"h{j}") for j in range(RUN)]
+    minima = [F.min(F.least(*(F.col(f"h{j}").bitwiseXOR(F.lit(x)) for j in range(RUN)))).alias(f"m{i}") for i, x in enumerate(XORS)]
+    smallest = runs.select("k1", "k2", *hashes).groupBy("k1", "k2").agg(*minima)
+    bands = [F.xxhash64(F.lit(b), *(F.col(f"m{r}") for r in rows)) for b, rows in enumerate(BAND_ROWS)]
+    return smallest.select("k1", F.explode(F.array(*bands)).alias("bucket"))
 
 
-def _similar(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """Pairs (a, b, ...) of lines whose Jaccard similarity, on their exact sets, is high enough."""
-    a, b = codes.select(F.col("node").alias("a"), F.col("code").alias("ca")), codes.select(F.col("node").alias("b"), F.col("code").alias("cb"))
-    met = pairs.join(a, "a").join(b, "b").withColumns({"sa": shingle_set(F.col("ca")), "sb": shingle_set(F.col("cb"))})
-    met = met.withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return met.filter(F.col("common") >= (F.size("sa") + F.size("sb") - F.col("common")) * SIMILAR).drop("ca", "cb", "sa", "sb", "common")
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), structs of both keys, of the ``pairs`` (a1, b1: first keys) whose exact Jaccard similarity is high enough.
+
+    ``sets``: k1, k2, n, shingles.  Sizes are compared before any set is moved.
+    """
+
+    def side(p: str, *more: str) -> DataFrame:
+        return sets.select(F.col("k1").alias(f"{p}1"), *(F.col(c).alias(f"{p}_{c}") for c in more))
+
+    sized = pairs.join(side("a", "k2", "n"), "a1").join(side("b", "k2", "n"), "b1")
+    part, whole = SIMILAR
+    sized = sized.filter(F.least("a_n", "b_n") * whole >= F.greatest("a_n", "b_n") * part)
+    met = sized.join(side("a", "k2", "shingles"), ["a1", "a_k2"]).join(side("b", "k2", "shingles"), ["b1", "b_k2"])
+    # common / (a + b - common) >= part / whole, with one mention of what is common
+    alike = met.filter(F.size(F.array_intersect("a_shingles", "b_shingles")) * (part + whole) >= (F.col("a_n") + F.col("b_n")) * part)
+    node = [F.struct(F.col(f"{p}1").alias("k1"), F.col(f"{p}_k2").alias("k2")).alias(p) for p in ("a", "b")]
+    return alike.select(*node)
 
 
 def links(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b): enough pairs of similar lines to connect all that are similar.
+    """(a, b), structs (k1, k2): enough pairs of similar lines to connect all that are similar.
 
-    ``keyed``: doc_id, line_no, line, k1, k2 of all lines; ``firsts``: k1, k2, node of distinct ones.
+    ``keyed``: doc_id, line_no, line, k1, k2 of all lines; ``firsts``: k1, k2 and the first place (doc_id, line_no)
+    of distinct ones.  Buckets hold first keys only; where two lines agree in it, both are compared.
     """
-    group = Window.partitionBy("bucket")
-    met = buckets(keyed).join(firsts, ["k1", "k2"]).select("bucket", "node")
-    met = met.withColumns({"n": F.count("*").over(group), "leader": F.min("node").over(group)}).filter("n > 1")
-    met = staged(met.select("bucket", "node", "leader"), "buckets")
-    seen = met.select("node.doc_id", "node.line_no").distinct()
+    met = buckets(keyed)
+    groups = met.groupBy("bucket").agg(F.min("k1").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
+    met = staged(met.join(groups, "bucket"), "buckets")
     # a null id is equal to itself here
-    id = F.coalesce("doc_id", F.lit(NO_ID))
-    texts = keyed.select(id.alias("doc_id"), "line_no", "line").join(seen.select(id.alias("doc_id"), "line_no"), ["doc_id", "line_no"], "left_semi")
-    node = F.struct(F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "line_no")
-    codes = staged(texts.select(node.alias("node"), F.encode("line", "UTF-16BE").alias("code")).dropDuplicates(["node"]), "codes")
-    to_leader = met.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    by_leader = staged(_similar(to_leader, codes), "by-leader")
-    apart = met.filter("node <> leader").join(by_leader.select(F.col("a").alias("node"), F.col("b").alias("leader")), ["node", "leader"], "left_anti")
-    others = met.filter("node <> leader").select("bucket", F.col("node").alias("other"))
-    rest = apart.join(others, "bucket").filter("node <> other")
-    rest = rest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    return by_leader.select("a", "b").union(_similar(rest, codes).select("a", "b"))
+    id = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
+    seen = firsts.join(met.select("k1").distinct(), "k1", "left_semi").select("k1", "k2", id, "line_no")
+    texts = keyed.select("k1", "k2", id, "line_no", F.encode("line", "UTF-16BE").alias("code")).join(seen, ["id", "line_no", "k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    made = staged(texts.select("k1", "k2", shingle_set(F.col("code")).alias("shingles")), "sets")
+    sets = made.withColumn("n", F.size("shingles"))
+
+    to_leader = met.filter("k1 <> leader").select(F.col("k1").alias("a1"), F.col("leader").alias("b1")).distinct()
+    same_key = sets.select(F.col("k1").alias("a1"), F.col("k1").alias("b1")).groupBy("a1", "b1").count().filter("count > 1").drop("count")
+    close = staged(_similar(to_leader.union(same_key), sets), "close")
+
+    roots = connected_components(close).select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root")
+    rooted = sets.select("k1", "k2").join(roots, ["k1", "k2"], "left").select("k1", F.coalesce("root", F.struct("k1", "k2")).alias("root"))
+    member = staged(met.join(rooted, "k1"), "members")
+    groups = member.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(F.col("k1") == F.col("leader"), F.col("root"))).alias("main"))
+    mixed = member.join(groups.filter("low <> high").select("bucket", "main"), "bucket").select("bucket", "main", "k1", "root")
+    outside = mixed.filter("root <> main").select("bucket", F.col("k1").alias("a1"), F.col("root").alias("a_root"))
+    other = mixed.select("bucket", "main", F.col("k1").alias("b1"), F.col("root").alias("b_root"))
+    apart = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("main")) | (F.col("a1") < F.col("b1")))
+    # leaders have met all others of their bucket
+    rest = outside.join(other, (outside["bucket"] == other["bucket"]) & apart).select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct()
+    rest = rest.join(to_leader.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")), ["a1", "b1"], "left_anti")
+    found = staged(close.union(_similar(rest, sets)), "found")
+    release(met, made, close, member)
+    return found
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:
@@ -110,14 +143,22 @@ def deduplicate_lines(docs: DataFrame) -> DataFrame:
     its component, and kept (blank lines are always kept and are their own component)."""
     keyed = lines(docs).select("doc_id", "line_no", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("other"), "line").alias("k2"))
     visible = keyed.filter("line <> ''")
-    firsts = staged(visible.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("node")), "firsts")
-    roots = connected_components(links(visible, firsts))
+    keys = staged(keyed.select("doc_id", "line_no", "k1", "k2", (F.col("line") == "").alias("blank")), "keys")
+    firsts = keys.filter("NOT blank").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    firsts = staged(firsts.select("k1", "k2", "first.doc_id", "first.line_no"), "firsts")
+    found = links(visible, firsts)
+    roots = connected_components(found).select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "root")
+    linked = staged(firsts.join(roots, ["k1", "k2"]), "linked")
+    earliest = linked.groupBy("root").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    moved = linked.join(earliest, "root").select("k1", "k2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line_no").alias("first_line_no"))
     # written, so that the join below shuffles both sides plainly and can split a line that very many documents have
-    rooted = staged(firsts.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root")), "roots")
-    found = visible.select("doc_id", "line_no", "k1", "k2").join(rooted, ["k1", "k2"]).select("doc_id", "line_no", F.col("root.doc_id").alias("first_doc_id"), F.col("root.line_no").alias("first_line_no"))
-    blank = keyed.filter("line = ''").select("doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
+    single = firsts.join(linked, ["k1", "k2"], "left_anti").select("k1", "k2", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
+    placed = staged(moved.union(single), "placed")
+    release(found, linked, firsts)
+    shown = keys.filter("NOT blank").join(placed, ["k1", "k2"]).select("doc_id", "line_no", "first_doc_id", "first_line_no")
+    blank = keys.filter("blank").select("doc_id", "line_no", F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
     same = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
-    return found.union(blank).withColumn("kept", same)
+    return shown.union(blank).withColumn("kept", same)
 
 
 def kept_text(docs: DataFrame) -> DataFrame:
