@@ -2,8 +2,8 @@
 
 The index is a table of one row per distinct text (digest, the document that stays, the
 batch that added it), bucketed and sorted by digest.  New data is reduced to one row
-per digest, compared with the index by a sort-merge anti-join (the index side needs neither a
-shuffle nor a sort), and what is new is appended in the same layout.
+per digest, dealt as the index is, compared with it by a sort-merge anti-join (the index side is not
+shuffled), and what is new is appended in the same layout.
 
 Only digests are shuffled, never texts.  A text that a third of all rows carry is one row per
 task after the partial aggregate; where single rows are joined back, both sides are plain
@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .staging import staged
-from .text import ascii_lower
+from .text import ascii_lower, whole_row
+
+#: Distinct texts that a bucket of the index is meant to hold, about.
+TEXTS_A_BUCKET = 2_000_000
 
 INDEX_SCHEMA = T.StructType(
     [
@@ -34,12 +37,31 @@ INDEX_SCHEMA = T.StructType(
 )
 
 
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, row (a number of its own) and text_sha256 of every row of ``docs`` (doc_id, text), written."""
+    return staged(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.monotonically_increasing_id().alias("row"),
+            F.sha2(ascii_lower(F.col("text")), 256).alias("text_sha256"),
+        ),
+        "digests",
+    )
+
+
 class DigestIndex:
-    """A catalog table ``name`` of the digests of all texts taken in so far."""
+    """A catalog table ``name`` of the digests of all texts taken in so far.
+
+    ``buckets`` is fixed when the table is made; ``buckets_for`` gives a number for the texts expected.
+    """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 32):
         self.spark, self.name, self.buckets = spark, name, buckets
 
+    @staticmethod
+    def buckets_for(texts: int) -> int:
+        return max(32, -(-texts // TEXTS_A_BUCKET))
+
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
@@ -50,8 +72,8 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def append(self, rows: DataFrame) -> None:
-        """Partitioning as the buckets are gives one sorted file a bucket."""
-        rows.repartition(self.buckets, "text_sha256").write.mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").format("parquet").saveAsTable(self.name)
+        """``rows`` are partitioned as the buckets are, which gives one sorted file a bucket."""
+        rows.write.mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").format("parquet").saveAsTable(self.name)
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Take in ``docs`` (doc_id, text) and return one row for each of them.
@@ -60,22 +82,20 @@ class DigestIndex:
         with this text), kept, text_sha256, known (the text was in the index before).
         A document of the index stays before any new one; among new ones, the largest doc_id.
         """
-        digests = staged(
-            docs.select(
-                F.col("doc_id").cast("long").alias("doc_id"),
-                F.monotonically_increasing_id().alias("row"),
-                F.sha2(ascii_lower(F.col("text")), 256).alias("text_sha256"),
-            ),
-            "digests",
-        )
+        return self.take(digests(docs))
+
+    def take(self, found: DataFrame) -> DataFrame:
+        """``ingest`` for rows of ``digests``."""
         batch = uuid.uuid4().hex
-        groups = digests.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
+        groups = found.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
+        # one row a digest, dealt as the index is, so that the index itself is never shuffled
+        groups = staged(groups, "groups").repartition(self.buckets, "text_sha256")
         fresh = groups.join(self.read().hint("merge"), "text_sha256", "left_anti")
         self.append(fresh.select("text_sha256", F.col("keep.doc_id").alias("keep_id"), F.lit(batch).alias("batch")))
-        # one row a digest on both sides; written, so that the join below shuffles both and can split a digest with very many rows
+        # written, so that the join below shuffles both sides and can split a digest with very many rows
         stays = staged(groups.join(self.read().hint("merge"), "text_sha256"), "stays")
         known = F.col("batch") != batch
-        return digests.join(stays, "text_sha256").select(
+        return found.join(stays, "text_sha256").select(
             "doc_id",
             "keep_id",
             "group_size",
@@ -84,14 +104,28 @@ class DigestIndex:
             known.alias("known"),
         )
 
+    def take_halves(self, docs: DataFrame) -> DataFrame:
+        """Take in ``docs`` as two batches, the larger ids first: the second batch meets what the first one added.
+
+        As an indexed document stays, the largest id of equal texts stays over both.  Rows as ``ingest`` gives them,
+        with group_size over both batches and without known.
+        """
+        found = digests(docs)
+        low, high = found.agg(F.min("doc_id"), F.max("doc_id")).first()
+        first = F.coalesce(F.col("doc_id") > (low + high) // 2, F.lit(False)) if low is not None else F.lit(False)
+        halves = [self.take(found.filter(half)).select("doc_id", "keep_id", "kept", "text_sha256") for half in (first, ~first)]
+        # written by partial counts of one row a digest, for the same reason as above
+        sizes = staged(found.groupBy("text_sha256").agg(F.count("*").alias("group_size")), "sizes")
+        return halves[0].union(halves[1]).join(sizes, "text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
 
 def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``ingest`` kept, with all their columns.
 
     ``docs`` is shuffled by id and digest once; of repeated rows (same id and text) one stays.
     """
-    keepers = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    marked = docs.withColumn("_digest", F.sha2(ascii_lower(F.col("text")), 256))
-    joined = marked.join(keepers, marked["doc_id"].eqNullSafe(keepers["_id"]) & (marked["_digest"] == keepers["_digest"]), "left_semi")
-    one = F.row_number().over(Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest").orderBy("_digest"))
-    return joined.withColumn("_n", one).filter("_n = 1").select(*docs.columns)
+    keepers = decided.filter("kept").select(F.col("doc_id").alias("its_id"), F.col("text_sha256").alias("its_digest"))
+    marked = docs.select(whole_row(docs), "doc_id", F.sha2(ascii_lower(F.col("text")), 256).alias("digest"))
+    joined = marked.join(keepers, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("digest"))
+    return joined.withColumn("nth", one).filter("nth = 1").select("row.*")

@@ -35,9 +35,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Takes the table into a new index, which is dropped again: what the result needs of it is written by then."""
-    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    decided = index.ingest(table(spark, sf_dir, "documents"))
+    """Takes the table into a new index as two batches, the second of which meets what the first one added; the index
+    is dropped again, as what the result needs of it is written by then."""
+    docs = table(spark, sf_dir, "documents")
+    index = exact_dedup.DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", exact_dedup.DigestIndex.buckets_for(docs.count()))
+    decided = index.take_halves(docs)
     index.drop()
     return decided.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -121,7 +123,7 @@ targets AS (
 placed AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.shift,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS place
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id) - 1 AS place
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        least((floor((place + 1) * rate + shift) - floor(place * rate + shift))::BIGINT, 2) * size AS taken
