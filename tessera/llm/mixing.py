@@ -3,7 +3,7 @@
 Every document of a source has the same expected number of copies, target / size of its source
 (2 at most).  The expected copies are prefix-summed over the source in an order of its documents,
 one random offset is added, and a document is emitted once for each integer boundary that its
-step crosses.  The order is by size, so that small and large documents are both taken in
+step crosses.  The order is by size (equal ones by the MD5 of their ids), so that small and large documents are both taken in
 proportion and the words taken stay within about one large document of the target.
 
 As all documents of a source have the same expected copies, the prefix sum is a rank times that
@@ -14,7 +14,8 @@ of all words; none gets over twice its words, and what is over is shared again b
 
 Cases: null text has size 0; empty documents count as documents and take 0 words; repeated rows are
 documents of their own; a source of no words has target 0; an empty table gives an empty result;
-further columns of the input are not looked at (``mix`` carries them along).
+further columns of the input are not looked at (``mix`` carries them along, whatever their names); rows with
+null ids are documents like any other.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .ranks import ranked
 from .staging import staged
-from .text import word_count
+from .text import whole_row, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
@@ -76,17 +77,13 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Copies are decided on ids and sizes; texts are shuffled once, to meet their number of copies.
     """
-    key = ("doc_id", "source", "_mix_size")
-    sized = docs.withColumn("_mix_size", word_count(F.col("text")))
+    key = ("doc_id", "source", "size")
+    sized = docs.select(whole_row(docs), "doc_id", "source", word_count(F.col("text")).alias("size"))
     # written, so that words are counted twice at most: here, and where texts meet their copies
-    sizes = staged(sized.select("doc_id", "source", F.col("_mix_size").alias("size")), "sizes")
+    sizes = staged(sized.select(*key), "sizes")
     # rows that agree in id, source and size may take different numbers of copies; which gets which is the same
-    copies = (
-        taken_copies(sizes, seed)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from"), F.col("size").alias("_words"))
-        .agg(F.sort_array(F.collect_list("copies")).alias("_copies"))
-    )
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_mix_size"))
-    met = sized.withColumn("_nth", nth).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_from")) & (F.col("_mix_size") == F.col("_words")))
-    times = F.element_at("_copies", F.col("_nth"))
-    return met.filter(times > 0).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)
+    copies = taken_copies(sizes, seed).groupBy(*(F.col(c).alias(f"its_{c}") for c in key)).agg(F.sort_array(F.collect_list("copies")).alias("copies"))
+    numbered = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("size")))
+    met = numbered.join(copies, F.col("doc_id").eqNullSafe(F.col("its_doc_id")) & F.col("source").eqNullSafe(F.col("its_source")) & (F.col("size") == F.col("its_size")))
+    times = F.element_at("copies", F.col("nth"))
+    return met.filter(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy")).select("row.*")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -33,6 +33,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, ``row``, so that no name among them can clash with a working column."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row")
+
+
 def text_digest(text: Column) -> Column:
     """SHA-256 of a text as it is; null counts as empty."""
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
