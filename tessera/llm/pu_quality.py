@@ -12,11 +12,9 @@ estimator): a step that would make it negative is taken back until it is not.
   word pairs, lines and their ends).  They are computed once, in Arrow batches, and written.
 * The loss is logistic, the model linear in the standardised features and their squares.  Each
   Newton step is one pass: tasks sum gradients and curvature, the driver adds up d x d matrices.
-* The prior is the share of good ones among the labelled documents where labels also name bad
-  ones (an audit of the corpus; this use is all that is made of them), less one standard error.
-  Without any, it is estimated from good and all documents: where scores of a first model are
-  highest, bad documents are rare, and there the share of all documents over the share of good
-  ones is the prior.  The lowest such ratio is taken, over score thresholds that enough of the good
+* The prior is estimated from good and all documents, never from labels of bad ones: where scores of a first model
+  are highest, bad documents are rare, and there the share of all documents over the share of good ones is the
+  prior.  The lowest such ratio, plus its standard error, is taken over the score thresholds that enough of the good
   documents reach.
 
 All positives and all documents enter; nothing is sampled.
@@ -40,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import staged
-from .text import as_bytes, held_out, slices, text_digest
+from .text import as_bytes, held_out, slices, text_digest, whole_row
 
 THRESHOLD = 0.7
 STEPS = 10
@@ -51,6 +49,8 @@ PRIOR_DEFAULT, PRIOR_LOW, PRIOR_HIGH = 0.5, 0.05, 0.98
 #: Score thresholds count for the prior if so many of the good documents reach them.
 PRIOR_SHARE = 0.4
 BINS = 400
+#: Tasks that add up the vectors of all tasks.
+ADDERS = 8
 
 _LINE_END = b".!?:;)\"'"
 _RUN = re.compile(rb"([^\sA-Za-z0-9\x80-\xff])\1+")
@@ -67,7 +67,7 @@ def packed_size(text: bytes) -> int:
 
 
 def features(text: bytes) -> list[float]:
-    """Figures about the shape of a UTF-8 text; none depends on a language."""
+    """Figures about the shape of a UTF-8 text; a list of ten short words of several languages is one of them."""
     n = len(text)
     if not n:
         return [0.0] * N_FEATURES
@@ -132,19 +132,26 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _summed(df: DataFrame, part, size: int) -> np.ndarray:
-    """Sum over all rows of the vectors that ``part`` (RecordBatch -> vector) gives."""
+    """Sum over all rows of the vectors that ``part`` (RecordBatch -> vector) gives.
+
+    One vector a task, added up by ``ADDERS`` tasks before the driver adds theirs.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 total += part(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(total)], names=["i", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
 
-    out = np.zeros(size)
-    for i, v in df.mapInArrow(partial, "i int, v double").groupBy("i").agg(F.sum("v")).collect():
-        out[i] = v
-    return out
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += np.asarray(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, size).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    vectors = df.mapInArrow(partial, "v array<double>").repartition(ADDERS).mapInArrow(added, "v array<double>")
+    return np.sum([np.array(r["v"]) for r in vectors.collect()], axis=0) + np.zeros(size)
 
 
 @dataclass
@@ -175,19 +182,26 @@ def softplus(z: np.ndarray) -> np.ndarray:
 
 
 def _pass(table: DataFrame, model: Model) -> dict:
-    """One pass over ``table`` (x, good): mean loss(-f) over all rows with its gradient and curvature, and over the good ones."""
+    """One pass over ``table`` (x, good): mean loss(-f) over all rows and over the good ones, with gradient and curvature of
+    each, and the mean design of the good ones."""
     d = len(model.weights)
 
     def part(batch: pa.RecordBatch) -> np.ndarray:
         a = model.design(_matrix(batch))
         f = a @ model.weights
         p, loss, good = sigmoid(f), softplus(f), np.asarray(batch.column("good"))
-        curve = (a * (p * (1 - p))[:, None]).T @ a
-        return np.concatenate([[len(a), loss.sum(), good.sum(), loss[good].sum()], p @ a, a[good].sum(0), curve.ravel()])
-
-    s = _summed(table, part, 4 + 2 * d + d * d)
-    n, m = max(s[0], 1), max(s[2], 1)
-    return {"all": s[1] / n, "good": s[3] / m, "n_good": s[2], "gradient": s[4 : 4 + d] / n, "good_mean": s[4 + d : 4 + 2 * d] / m, "curve": s[4 + 2 * d :].reshape(d, d) / n}
+        sums = [[len(a), good.sum()]]
+        for rows, q, lost in ((a, p, loss), (a[good], p[good], loss[good])):
+            sums += [[lost.sum()], q @ rows, ((rows * (q * (1 - q))[:, None]).T @ rows).ravel()]
+        return np.concatenate([*sums, a[good].sum(0)])
+
+    s = _summed(table, part, 2 + 2 * (1 + d + d * d) + d)
+    n, m = max(s[0], 1), max(s[1], 1)
+    out: dict = {"n_good": s[1], "good_mean": s[-d:] / m}
+    for i, (name, over) in enumerate((("all", n), ("good", m))):
+        own = s[2 + i * (1 + d + d * d) :] / over
+        out[name], out[f"{name}_slope"], out[f"{name}_curve"] = own[0], own[1 : 1 + d], own[1 + d : 1 + d + d * d].reshape(d, d)
+    return out
 
 
 def train(table: DataFrame, prior: float | None = None, steps: int = STEPS) -> Model | None:
@@ -206,49 +220,49 @@ def train(table: DataFrame, prior: float | None = None, steps: int = STEPS) -> M
     return _descend(table, model, steps)
 
 
-def _descend(table: DataFrame, model: Model, steps: int) -> Model | None:
-    """Newton steps on the risk, each halved until the non-negative risk falls.
+def risk(model: Model, at: dict, ridge: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk, its slope and its curvature, from the sums of ``_pass``.
 
-    With loss(f) - loss(-f) = -f the unbiased risk is E_all[loss(-f)] - prior * E_good[f]: a pass a
-    step gives its slope and curvature.  While the bad documents' part is below zero it counts as
-    zero, so such a step must lower the good documents' part by itself.
+    The good documents' part is prior * E_good[loss(f)], with loss(f) = loss(-f) - f.  The bad ones' part,
+    E_all[loss(-f)] - prior * E_good[loss(-f)], counts as zero, with no slope, where it is below zero.  Where it counts,
+    the curvatures of loss(-f) on good documents cancel.
     """
+    prior, w = model.prior, model.weights
+    on_good, bad = at["good"] - float(at["good_mean"] @ w), at["all"] - prior * at["good"]
+    value = prior * on_good + max(0.0, bad) + 0.5 * float(ridge @ w**2)
+    if bad >= 0:
+        return value, at["all_slope"] - prior * at["good_mean"] + ridge * w, at["all_curve"] + np.diag(ridge)
+    return value, prior * (at["good_slope"] - at["good_mean"]) + ridge * w, prior * at["good_curve"] + np.diag(ridge)
+
+
+def _descend(table: DataFrame, model: Model, steps: int) -> Model | None:
+    """Newton steps on the risk, one pass each, and another where a step is halved until the risk falls."""
     d = len(model.weights)
     now = _pass(table, model)
     if not now["n_good"]:
         return None
     ridge = np.full(d, max(RIDGE, RIDGE_ROWS / now["n_good"]))
     ridge[0] = 0
-
-    def risk(m: Model, at: dict) -> float:
-        on_good = at["good"] - float(at["good_mean"] @ m.weights)  # loss(f) = loss(-f) - f
-        return m.prior * on_good + max(0.0, at["all"] - m.prior * at["good"]) + 0.5 * float(ridge @ m.weights**2)
-
-    value = risk(model, now)
+    value, slope, curve = risk(model, now, ridge)
     for _ in range(steps):
-        slope = now["gradient"] - model.prior * now["good_mean"] + ridge * model.weights
-        step = np.linalg.solve(now["curve"] + np.diag(ridge) + 1e-6 * np.eye(d), slope)
+        step = np.linalg.solve(curve + 1e-6 * np.eye(d), slope)
         for size in (1.0, 0.5, 0.2):
             tried = Model(model.mean, model.scale, model.weights - size * step, model.prior)
-            then = _pass(table, tried)
-            new = risk(tried, then)
-            if new < value:
+            new = risk(tried, _pass(table, tried), ridge)
+            if new[0] < value:
                 break
         else:
             return model
-        settled = value - new < 1e-4
-        model, value, now = tried, new, then
+        settled = value - new[0] < 1e-4
+        model, (value, slope, curve) = tried, new
         if settled:
             return model
     return model
 
 
 def _prior(table: DataFrame, model: Model) -> float:
-    """Lowest ratio of the shares of all and of good documents above a score.
-
-    The lowest of noisy ratios errs to the low side, which is the harmless one: a good document's
-    score then tends to estimate / prior instead of 1.
-    """
+    """Lowest ratio of the shares of all and of good documents above a score, each plus the standard error that
+    the number of good documents above that score gives it (without which the lowest of noisy ratios is too low)."""
 
     def bins(batch: pa.RecordBatch) -> np.ndarray:
         at = np.clip((np.clip(model.margin(_matrix(batch)), -10, 10) + 10) / 20 * BINS, 0, BINS - 1).astype(int)
@@ -259,20 +273,11 @@ def _prior(table: DataFrame, model: Model) -> float:
     every, some = counts[:BINS][::-1].cumsum(), counts[BINS:][::-1].cumsum()
     share_all, share_good = every / max(every[-1], 1), some / max(some[-1], 1)
     enough = share_good >= PRIOR_SHARE
-    ratio = share_all[enough] / share_good[enough]
+    share, good = share_good[enough], max(some[-1], 1)
+    ratio = share_all[enough] / share * (1 + np.sqrt((1 - share) / (share * good)))
     return float(np.clip(ratio.min(initial=PRIOR_HIGH), PRIOR_LOW, PRIOR_HIGH))
 
 
-def audited_prior(labels: DataFrame) -> float | None:
-    """Share of quality 1 among labels that may be learned from, less a standard error; None if they name one class only."""
-    seen = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("quality").isin(0, 1))
-    n, good = seen.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
-    if not 0 < good < n:
-        return None
-    share = good / n
-    return float(np.clip(share - np.sqrt(share * (1 - share) / n), PRIOR_LOW, PRIOR_HIGH))
-
-
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, carried: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted and the ``carried`` columns for each row of ``docs`` (doc_id, text).
 
@@ -283,7 +288,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, car
     found = document_features(docs, *carried)
     more = found.columns[2:]
     table = staged(found.join(trusted, "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False))), "features")
-    model = train(table, audited_prior(labels))
+    model = train(table)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,6 +303,6 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, car
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that are not rejected, told apart by id and digest of the text: null and repeated ids are rows like any other."""
     rejected = scored(docs, labels, threshold, (text_digest(F.col("text")).alias("digest"),)).filter("predicted = 0")
-    rejected = rejected.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_text")).distinct()
-    marked = docs.withColumn("_digest", text_digest(F.col("text")))
-    return marked.join(rejected, marked["doc_id"].eqNullSafe(rejected["_id"]) & (marked["_digest"] == rejected["_text"]), "left_anti").select(*docs.columns)
+    rejected = rejected.select(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_digest")).distinct()
+    marked = docs.select(whole_row(docs), "doc_id", text_digest(F.col("text")).alias("digest"))
+    return marked.join(rejected, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left_anti").select("row.*")
