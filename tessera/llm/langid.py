@@ -3,8 +3,8 @@
 For each page the log-odds of the languages are the sum of
 
 * the text: likelihood of its byte trigrams (hashed) under a profile of each language, counted over
-  all labelled documents; trigrams overlap and repeat, so a share ``TEMPER`` of it counts, and at
-  most that of ``FULL_TEXT`` trigrams;
+  all labelled documents; trigrams overlap and repeat, so a share ``TEMPER`` of it counts, and beyond about
+  ``FULL_TEXT`` trigrams the weight of more of them grows as a logarithm;
 * the markup: how often pages of a language declare what this page declares (its html lang, a
   language we know, another one, or none), estimated from all pages; html tags are looked for in the
   whole page, outside comments, scripts and styles;
@@ -112,7 +112,7 @@ def text_evidence(pages: DataFrame, names: list[str], logs: np.ndarray) -> DataF
                     declared.append("none" if code is None else code.decode() if code in known else "other")
                     grams = trigrams(visible_text(html))
                     if len(grams):
-                        values[i] = TEMPER * min(len(grams), FULL_TEXT) * shared.value[:, grams].mean(axis=1)
+                        values[i] = TEMPER * FULL_TEXT * np.log1p(len(grams) / FULL_TEXT) * shared.value[:, grams].mean(axis=1)
                 values -= values.max(axis=1, keepdims=True)
                 yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(declared, pa.string()), *(pa.array(values[:, j].copy()) for j in range(k))], names=["page_id", "url", "declared", *(f"l{j}" for j in range(k))])
 

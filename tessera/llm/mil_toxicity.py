@@ -16,7 +16,7 @@ sentences are to blame, and the same model points at them.
 * Scores of all whole texts are computed in Arrow batches; no text is shuffled.
 
 Cases: null and empty texts are one empty sentence (score of the intercept); without labels of both
-kinds every score is the share of toxic labels, 0 if there are none; a null id is neither held out nor
+kinds every score is the share of toxic labels, 0 if there are none; a document with both labels is toxic; a null id is neither held out nor
 labelled; repeated rows are scored alike; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -180,7 +180,7 @@ def gradient(table: DataFrame, weights: np.ndarray, intercept: float) -> np.ndar
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, passes: int = PASSES) -> Model:
-    known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # more labels than the bound: those of the smallest md5 (a top-k, which tasks reduce before it is merged)
     known = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
     # at most ``most`` pairs of numbers are broadcast, so that texts stay where they are
@@ -211,10 +211,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [shared.value.judge(t) for t in as_bytes(batch, "text")]
-            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "score", "sentence_start", "sentence_length", "sentence_score"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = [shared.value.judge(t) for t in as_bytes(batch, "text")]
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.float64(), pa.int64(), pa.int64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "score", "sentence_start", "sentence_length", "sentence_score"])
 
     scores = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, score double, sentence_start long, sentence_length long, sentence_score double")
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "sentence_start", "sentence_length", "sentence_score")
@@ -226,16 +227,17 @@ def offending_sentences(docs: DataFrame, labels: DataFrame, threshold: float = T
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            m = shared.value
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text"), strict=True):
-                if m.constant is None:
-                    for (start, length), z in m.margins(m.bag(text)[1]).items():
-                        p = float(1 / (1 + np.exp(-z)))
-                        if p >= threshold:
-                            rows.append((doc_id, start, length, p, text[start : start + length].decode("utf-8", "replace")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "length", "score", "sentence"])
+        m = shared.value
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text"), strict=True):
+                    if m.constant is None:
+                        for (start, length), z in m.margins(m.bag(text)[1]).items():
+                            p = float(1 / (1 + np.exp(-z)))
+                            if p >= threshold:
+                                rows.append((doc_id, start, length, p, text[start : start + length].decode("utf-8", "replace")))
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "length", "score", "sentence"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, start long, length long, score double, sentence string")

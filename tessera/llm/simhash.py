@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .staging import staged
-from .text import as_bytes, slices, text_digest
+from .text import as_bytes, slices, text_digest, whole_row
 
 BITS = 64
 SEED = 42
@@ -228,8 +228,8 @@ def keep_one_each(docs: DataFrame, most: int = MOST_DIFFERING) -> DataFrame:
     fps = staged(fingerprints(docs, text_digest(F.col("text")).alias("digest")), "fingerprints")
     classes = fingerprint_classes(fps.select("doc_id", "fp"), most)
     firsts = fps.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "digest")).alias("first"))
-    stay = firsts.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_text"))
-    marked = docs.withColumn("_digest", text_digest(F.col("text")))
-    joined = marked.join(stay, marked["doc_id"].eqNullSafe(stay["_id"]) & (marked["_digest"] == stay["_text"]), "left_semi")
-    one = F.row_number().over(Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "_digest").orderBy("_digest"))
-    return joined.withColumn("_n", one).filter("_n = 1").select(*docs.columns)
+    stay = firsts.join(classes, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("its_id"), F.col("first.digest").alias("its_digest"))
+    marked = docs.select(whole_row(docs), "doc_id", text_digest(F.col("text")).alias("digest"))
+    joined = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("digest") == F.col("its_digest")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("digest"))
+    return joined.withColumn("nth", one).filter("nth = 1").select("row.*")
