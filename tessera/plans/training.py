@@ -72,10 +72,22 @@ def score(df: DataFrame, bundle: Bundle, spec: FeatureSpec) -> DataFrame:
     return out.drop("_z", *(f"_x{i}" for i in range(len(xs))))
 
 
+def split_dataset(df: DataFrame, spec: FeatureSpec, config: TrainConfig) -> DataFrame:
+    """id, features, targets and is_test of each row."""
+    return ft.dataset(df, spec).withColumn("is_test", in_test(config.seed, F.col("id"), config.test_fraction))
+
+
+def scaler_rows(data: DataFrame, config: TrainConfig) -> DataFrame:
+    """Rows of ``split_dataset`` that the scaler is fitted on."""
+    if config.scaler_scope not in ("train", "all"):
+        raise ValueError(f"unknown scaler scope: {config.scaler_scope}")
+    return data if config.scaler_scope == "all" else data.filter("NOT is_test")
+
+
 def fit(df: DataFrame, spec: FeatureSpec, config: TrainConfig = TrainConfig()) -> tuple[Bundle, DataFrame]:
     """The trained bundle and the standardised rows of the test part with their targets."""
-    data = ft.dataset(df, spec).withColumn("is_test", in_test(config.seed, F.col("id"), config.test_fraction))
-    fitted_on = data if config.scaler_scope == "all" else data.filter("NOT is_test")
+    data = split_dataset(df, spec, config)
+    fitted_on = scaler_rows(data, config)
     targets = (spec.binary_target, *spec.continuous_targets)
     stats = ft.fit_scaler(fitted_on, [*spec.names, *spec.continuous_targets])
     k = len(spec.names)
