@@ -48,36 +48,47 @@ def smallest_border(df: DataFrame, column: str, wanted: int, digits: int = 4) ->
     return df.agg(F.max(column)).first()[0]
 
 
-def dense_index(df: DataFrame, key: str, name: str = "index") -> DataFrame:
-    """``df`` with 0, 1, 2, ... in the order of hash-dealt groups of ``key`` (a unique column).
+#: Rows that one task is meant to number.
+GROUP_ROWS = 1_000_000
 
-    Rows are numbered within 256 groups and group counts are added up, so no task orders all rows.
+
+def dense_index(df: DataFrame, key: str, name: str = "index", rows: int = 0) -> DataFrame:
+    """``df`` with 0, 1, 2, ... in the order of the hash of ``key`` (a unique column), then of the key.
+
+    Rows are numbered within groups of equal leading hash digits, and group counts are added up, so no task orders all
+    rows.  ``rows``, about how many there are, gives the number of groups (256 at least), not the order.
     """
-    group = F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 2)
+    digits = 2
+    while GROUP_ROWS * 16**digits < rows:
+        digits += 1
+    hashed = F.md5(F.col(key).cast("string").cast("binary"))
+    group = F.substring(hashed, 1, digits)
     dealt = df.withColumn("_group", group)
     counts = dealt.groupBy("_group").agg(F.count("*").alias("_n"))
     starts = counts.select("_group", F.coalesce(F.sum("_n").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("_group").orderBy(key)) - 1
-    return dealt.withColumn("_nth", nth).join(F.broadcast(starts), "_group").withColumn(name, (F.col("_start") + F.col("_nth")).cast("bigint")).drop("_group", "_nth", "_start")
+    nth = F.row_number().over(Window.partitionBy("_group").orderBy(hashed, key)) - 1
+    return dealt.withColumn("_nth", nth).join(starts, "_group").withColumn(name, (F.col("_start") + F.col("_nth")).cast("bigint")).drop("_group", "_nth", "_start")
 
 
 def resize(df: DataFrame, key: str, target: int, seed: int = 42) -> DataFrame:
     """Exactly ``target`` rows of ``df``: a sample without replacement, or a bootstrap with it."""
+    return _copies(df, key, target, seed).select(*df.columns)
+
+
+def _copies(df: DataFrame, key: str, target: int, seed: int) -> DataFrame:
+    """``resize`` with _each, which numbers the copies of a row from 1."""
     n = df.count()
     if n == 0:
         raise ValueError("the table to resize is empty")
-    if n == target:
-        return df
-    if n > target:
-        return split_exact_count(df, key, target, seed)
+    if n >= target:
+        return (df if n == target else split_exact_count(df, key, target, seed)).withColumn("_each", F.lit(1).cast("bigint"))
     spark = df.sparkSession
     drawn = F.conv(split_hash_value(seed, F.col("id")), 16, 10).cast("bigint") % n
     draws = spark.range(target).select(drawn.alias("_draw"))
     # as many draws of a row as it gets: grouped first, so the join meets each row once
     times = draws.groupBy("_draw").agg(F.count("*").alias("_times"))
-    indexed = dense_index(df, key, "_index")
-    repeated = indexed.join(times, F.col("_index") == F.col("_draw")).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
-    return repeated.select(*df.columns)
+    indexed = dense_index(df, key, "_index", n)
+    return indexed.join(times, F.col("_index") == F.col("_draw")).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
 
 
 def split_exact_count(df: DataFrame, key: str, target: int, seed: int) -> DataFrame:
@@ -101,11 +112,11 @@ class ScaleJob:
 
 def scaled(df: DataFrame, job: ScaleJob, target: int, seed: int = 42) -> DataFrame:
     """``df`` resized to ``target`` rows, with new ids where the job has an id column (matched in any case)."""
-    out = resize(df, job.key, target, seed)
+    out = _copies(df, job.key, target, seed)
     have = {c.lower(): c for c in df.columns}
     name = have.get((job.id_column or "").lower())
     if name is None:
-        return out
-    numbered = out.withColumn("_row", F.monotonically_increasing_id())
-    numbered = dense_index(numbered, "_row", "_index") if target > 1 else numbered.withColumn("_index", F.lit(0))
+        return out.select(*df.columns)
+    # numbered by key and copy, which no retry and no partitioning changes
+    numbered = dense_index(out.withColumn("_row", F.concat_ws("|", F.col(job.key).cast("string"), "_each")), "_row", "_index", target)
     return numbered.withColumn(name, id_format(job.prefix, F.col("_index") + 1, target)).select(*df.columns)

@@ -110,7 +110,7 @@ def regen_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New ids 1..n for all orders; which order gets which is not fixed, the set of ids is."""
     orders = table(spark, sf_dir, "orders")
     n = orders.count()
-    indexed = sampling.dense_index(orders.select("o_orderkey"), "o_orderkey")
+    indexed = sampling.dense_index(orders.select("o_orderkey"), "o_orderkey", rows=n)
     return indexed.select(sampling.id_format("ORD", F.col("index") + 1, n).alias("id"))
 
 
@@ -137,7 +137,7 @@ def resize_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.resize(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1000)
 
 
-UP_SQL = """dealt AS (SELECT *, substr(md5({k}::VARCHAR), 1, 2) AS g FROM {t}), base AS (SELECT *, row_number() OVER (ORDER BY g, {k}) - 1 AS i FROM dealt),
+UP_SQL = """base AS (SELECT *, row_number() OVER (ORDER BY md5({k}::VARCHAR), {k}) - 1 AS i FROM {t}),
 draws AS (SELECT ('0x' || substr(md5(concat('42|', range::VARCHAR)), 1, 8))::BIGINT % (SELECT count(*) FROM {t}) AS d FROM range({n}))"""
 
 
