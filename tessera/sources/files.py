@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,23 +17,22 @@ class MissingColumns(ValueError):
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of the first line, lower-cased and trimmed."""
+    """Column names of the first line of a file, as they are."""
     first = spark.read.text(path).first()
-    if first is None:
-        return []
-    parsed = spark.range(1).select(F.split(F.lit(first[0]), ",").alias("h")).first()["h"]
-    return [name.strip().strip('"').strip().lower() for name in parsed]
+    return [] if first is None else next(csv.reader([first[0]]), [])
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """All rows of CSV files with a header, as strings, plus ``_corrupt_record``.
 
-    Columns keep the order of the file and take the normalised names.
+    Columns keep the order of the files and take their names, lower-cased and trimmed.  All files must have one and the
+    same header: where Spark meets another, or another order, it stops the job and names the file.
     """
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*csv_header(spark, path), CORRUPT]])
+    header = csv_header(spark, path)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, CORRUPT]])
     # pruned columns would hide rows with too few or too many fields
-    options = {"columnPruning": False, "header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'}
-    return spark.read.options(**options).schema(schema).csv(path)
+    options = {"columnPruning": False, "header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "enforceSchema": False}
+    return spark.read.options(**options).schema(schema).csv(path).toDF(*(name.strip().lower() for name in header), CORRUPT)
 
 
 def csv_scan(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

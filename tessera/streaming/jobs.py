@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from ..operators.aggregates import merge_states, profile_state
 
 DEFAULT_ID = "API-REQUEST"
+TELEMETRY_EVERY = "1.5 seconds"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,6 +50,12 @@ def telemetry(requests: DataFrame, latency: str) -> DataFrame:
     return requests.agg(F.count("*").alias("requests"), F.coalesce(F.sum(latency) / F.count("*"), F.lit(0.0)).alias("mean_latency"))
 
 
+def report_telemetry(requests: DataFrame, latency: str, name: str, checkpoint: str, every: str = TELEMETRY_EVERY) -> StreamingQuery:
+    """Keep the table ``name`` at the latest telemetry, brought up to date ``every`` so often until the query is stopped."""
+    writer = telemetry(requests, latency).writeStream.format("memory").queryName(name).outputMode("complete")
+    return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def first_in_ttl(stream: DataFrame, key: str, time: str, ttl: str) -> DataFrame:
     """Rows whose key was not seen within ``ttl`` of event time; state goes as the watermark passes."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
