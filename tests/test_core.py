@@ -17,6 +17,7 @@ from tessera.plans import cohort, training
 from tessera.session import scratch_path
 from tessera.sources import files, synthetic
 from tessera.spec import COHORT
+from tessera.streaming import jobs
 
 RAW = ["id", "age", "race", "ethnicity", "marital", "income", "coverage", "healthcare_cost", "psa", "num_encounters", "num_diagnoses", "has_died", "survival_days"]
 
@@ -249,3 +250,52 @@ def test_constant_and_empty_report(spark):
     rows = spark.createDataFrame([], "risk double, survival double, cost double")
     assert training.risk_report(rows).first()["n"] == 0
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_files_of_one_scan_must_have_one_header(spark, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two"
+    for folder, second in ((one, ' ID ,"Age, years"\n2,60\n'), (two, '"Age, years", ID \n60,2\n')):
+        folder.mkdir()
+        (folder / "a.csv").write_text(' ID ,"Age, years"\n1,50\n')
+        (folder / "b.csv").write_text(second)
+    rows = files.csv_scan(spark, str(one), ["id", "age, years"]).collect()
+    assert sorted((r[0], r[1]) for r in rows) == [("1", "50"), ("2", "60")]
+    with pytest.raises(Exception, match="CSV header"):
+        files.csv_scan(spark, str(two), ["id"]).collect()
+
+
+def test_dense_index_has_one_order_for_any_number_of_groups(spark, monkeypatch):
+    df = spark.range(3000).repartition(7)
+    few = {r["id"]: r["index"] for r in sampling.dense_index(df, "id").collect()}
+    monkeypatch.setattr(sampling, "GROUP_ROWS", 1)
+    many = {r["id"]: r["index"] for r in sampling.dense_index(df, "id", rows=3000).collect()}
+    assert few == many and sorted(many.values()) == list(range(3000))
+
+
+def test_scaled_ids_do_not_depend_on_partitioning(spark):
+    job = sampling.ScaleJob("t", "id", "name", "PAT")
+    made = []
+    for parts in (2, 9):
+        df = spark.range(10).select("id", F.lit("x").alias("name")).repartition(parts)
+        made.append(sorted((r["id"], r["name"]) for r in sampling.scaled(df, job, 40).collect()))
+    assert made[0] == made[1] and len({name for _, name in made[0]}) == 40
+
+
+def test_scaler_does_not_depend_on_partitioning(spark):
+    found = []
+    for parts in (1, 13):
+        df = spark.range(5000).select((F.col("id") % 11 / 100.0).alias("a"), (F.col("id") % 7).cast("double").alias("b")).repartition(parts)
+        found.append([(r["name"], round(r["mean"], 7), round(r["std"], 6)) for r in ft.scaler_rows(df, ["a", "b"]).collect()])
+    assert found[0] == found[1]
+
+
+def test_telemetry_is_kept_up_to_date(spark, tmp_path):
+    spark.createDataFrame([(1.0,), (3.0,)], "latency double").write.parquet(str(tmp_path / "in"))
+    stream = jobs.file_stream(spark, "latency double", str(tmp_path / "in"))
+    query = jobs.report_telemetry(stream, "latency", "telemetry_now", str(tmp_path / "state"))
+    try:
+        query.processAllAvailable()
+        assert [tuple(r) for r in spark.table("telemetry_now").collect()] == [(2, 2.0)]
+        assert jobs.TELEMETRY_EVERY == "1.5 seconds"
+    finally:
+        query.stop()
