@@ -16,11 +16,15 @@ Nothing is paired: groups are reduced to their earliest member, so a passage in
 documents costs a row for each of its occurrences.  Such groups are reduced within a slice of
 documents before they are shuffled: of equal cells or windows one is sent, and of the different cells
 around one anchor ``ANCHOR_CELLS``, which let it be known as frequent; the others are extended anyway.
+Then they are aggregated by Spark, partly before the shuffle, and joined back from written tables, so that
+no task holds a whole group.
 Seeds are 64-bit hashes, and what counts as equal agrees in 128 (anchor and cell, anchor and window).
 
 Cases: null text has no words; texts of fewer than ``length`` words lose none; rows that share an id
-are versions of one document and lose the same positions; a null id is the smallest; an empty table
-gives an empty result; other columns are not looked at.
+are versions of one document and lose the same positions; a null id is smaller than any other, and rows
+without an id are documents of their own, in the order of a hash of their texts (equal ones count as one
+repeated row, which loses nothing to itself); an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -31,21 +35,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import release, staged
 from .text import as_bytes, slices
 
 LENGTH = 20
 GRAM = 7
 #: Different cells of one anchor that a slice of documents sends to the anchor's group.
 ANCHOR_CELLS = 8
-NO_ID = -(1 << 63)
+#: Documents without an id go by numbers from here on, made of their texts.
+NO_ID, NO_ID_BITS = -(1 << 63), (1 << 62) - 1
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CELLS = "anchor long, cell long, doc_id long, start int, n int, kind byte"
+CELLS = "anchor long, cell long, doc long, start int, n int, kind byte"
 SEED, REPEAT, EXTEND = 0, 1, 2
 
 
@@ -149,11 +154,11 @@ def _slice_cells(doc_ids: np.ndarray, texts: list[bytes], length: int, gram: int
     cell = np.where(kind == EXTEND, anchor, cell)
     anchor = np.where(kind == SEED, anchor, alone)
     columns = [anchor.view(np.int64), cell.view(np.int64), doc, start.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([*(pa.array(c[heads]) for c in columns), pa.array(total.astype(np.int32)), pa.array(kind[heads].astype(np.int8))], names=["anchor", "cell", "doc_id", "start", "n", "kind"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c[heads]) for c in columns), pa.array(total.astype(np.int32)), pa.array(kind[heads].astype(np.int8))], names=["anchor", "cell", "doc", "start", "n", "kind"])
 
 
 def cells(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Cells of ``docs`` (doc_id without null, text), see CELLS.
+    """Cells of ``docs`` (doc, text), see CELLS.
 
     kind SEED: to be compared by anchor; REPEAT: an earlier one lies in the same slice of documents;
     EXTEND: known to have other surroundings (its anchor is then in the column cell).
@@ -162,34 +167,49 @@ def cells(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield _slice_cells(np.asarray(part.column("doc_id"), np.int64), as_bytes(part, "text"), length, gram)
+                yield _slice_cells(np.asarray(part.column("doc"), np.int64), as_bytes(part, "text"), length, gram)
 
     return docs.mapInArrow(each, CELLS)
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Cells that are repeats as a whole or to be extended: doc_id, start, n, anchor, extend."""
-    group = Window.partitionBy("anchor")
-    met = found.withColumns({"_n": F.count("*").over(group), "_low": F.min("cell").over(group), "_high": F.max("cell").over(group)})
-    met = met.filter((F.col("_n") > 1) | (F.col("kind") != SEED))
-    place = F.rank().over(Window.partitionBy("anchor", "cell").orderBy("doc_id", "start"))
-    met = met.withColumn("_later", (place > 1) & (F.col("kind") == SEED))
-    repeat = F.col("_later") | (F.col("kind") == REPEAT)
-    extend = (F.col("kind") == EXTEND) | (~repeat & (F.col("_low") != F.col("_high")))
-    anchor = F.when(F.col("kind") == EXTEND, F.col("cell")).otherwise(F.col("anchor"))
-    return met.filter(repeat | extend).select("doc_id", "start", "n", F.when(~repeat, anchor).alias("anchor"))
+    """Cells that are repeats as a whole or to be extended: doc, start, n, anchor (null: a repeat).
+
+    Groups are aggregated before they are shuffled and joined back plainly, from written tables, so that
+    adaptive execution can split an anchor or cell that very many documents have.
+    """
+    seeds = found.filter(F.col("kind") == SEED).drop("kind")
+    by_anchor = seeds.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("cell").alias("_low"), F.max("cell").alias("_high"))
+    shared = staged(by_anchor.filter("_n > 1").select("anchor", (F.col("_low") != F.col("_high")).alias("several")), "anchors")
+    met = staged(seeds.join(shared, "anchor"), "met")
+    release(shared)
+    first = staged(_firsts(met, "cell"), "first_cells")
+    placed = met.join(first, ["anchor", "cell"], "left")
+    later = F.coalesce(F.struct("doc", "start") > F.col("first"), F.lit(False))
+    decided = placed.filter(later | F.col("several")).select("doc", "start", "n", F.when(~later, F.col("anchor")).alias("anchor"))
+    # what a slice has decided by itself; the anchor of a cell to be extended is in the column cell
+    alone = found.filter(F.col("kind") != SEED).select("doc", "start", "n", F.when(F.col("kind") == EXTEND, F.col("cell")).alias("anchor"))
+    out = staged(decided.union(alone), "judged")
+    release(met, first)
+    return out
+
+
+def _firsts(met: DataFrame, what: str) -> DataFrame:
+    """anchor, ``what``, first (doc, start) of those that ``met`` has more than once."""
+    groups = met.groupBy("anchor", what).agg(F.count("*").alias("_n"), F.min(F.struct("doc", "start")).alias("first"))
+    return groups.filter("_n > 1").drop("_n")
 
 
 def extended(texts: DataFrame, seeds: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Windows of the cells ``seeds`` that occur earlier: doc_id, start, n (consecutive windows)."""
-    by_doc = seeds.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("seeds"))
-    schema = "anchor long, win long, doc_id long, start int, n int"
+    """Windows of the cells ``seeds`` that occur earlier: doc, start, n (consecutive windows)."""
+    by_doc = seeds.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("seeds"))
+    schema = "anchor long, win long, doc long, start int, n int"
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 found: list[list[np.ndarray]] = [[], [], [], []]
-                for doc_id, text, lists in zip(batch.column("doc_id").to_pylist(), as_bytes(batch, "text"), batch.column("seeds"), strict=True):
+                for doc_id, text, lists in zip(batch.column("doc").to_pylist(), as_bytes(batch, "text"), batch.column("seeds"), strict=True):
                     hashes = run_hashes(word_hashes(text.split()), length)
                     start, n, anchor = (np.asarray(lists.values.field(k)) for k in ("start", "n", "anchor"))
                     inside = start + n <= len(hashes)  # versions of a document may differ in length
@@ -201,21 +221,27 @@ def extended(texts: DataFrame, seeds: DataFrame, length: int = LENGTH) -> DataFr
                 again = _repeated([anchor, win], [doc, at])
                 # what occurs earlier in this slice is decided and is not to meet in one group
                 anchor = np.where(again, mixed(doc.astype(np.uint64) * ODD + at.astype(np.uint64)).view(np.int64), anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(win), pa.array(doc), pa.array(at), pa.array(again.astype(np.int32))], names=["anchor", "win", "doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(win), pa.array(doc), pa.array(at), pa.array(again.astype(np.int32))], names=["anchor", "win", "doc", "start", "n"])
 
-    found = texts.join(by_doc, "doc_id").mapInArrow(windows, schema)
-    place = F.rank().over(Window.partitionBy("anchor", "win").orderBy("doc_id", "start"))
-    return found.withColumn("_place", place).filter((F.col("_place") > 1) | (F.col("n") == 1)).select("doc_id", "start", F.lit(1).alias("n"))
+    met = staged(texts.join(by_doc, "doc").mapInArrow(windows, schema), "windows")
+    first = staged(_firsts(met.filter("n = 0"), "win"), "first_windows")
+    later = met.filter("n = 0").join(first, ["anchor", "win"]).filter(F.struct("doc", "start") > F.col("first"))
+    out = staged(later.select("doc", "start", F.lit(1).alias("n")).union(met.filter("n = 1").select("doc", "start", "n")), "repeats")
+    release(met, first)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, spans
     (maximal repeats: first word, one past the last) and, if asked for, kept_text."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = staged(judged(cells(texts, length, gram)), "cells")
-    whole = found.filter("anchor IS NULL").select("doc_id", "start", "n")
-    gone = whole.union(extended(texts, found.filter("anchor IS NOT NULL"), length))
-    by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("doc", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(NO_ID_BITS)) + F.lit(NO_ID)))
+    found = staged(cells(texts, length, gram), "cells")
+    known = judged(found)
+    release(found)
+    around = extended(texts, known.filter("anchor IS NOT NULL"), length)
+    gone = known.filter("anchor IS NULL").select("doc", "start", "n").union(around)
+    by_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,end:int>>" + (", kept_text string" if keep_text else "")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,11 +265,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
                     kept = b" ".join(words)
                     for column, value in zip(rows, (total, removed, hashlib.sha256(kept).hexdigest(), spans, kept.decode() if keep_text else None), strict=True):
                         column.append(value)
-                ids = batch.column("doc_id")
-                ids = pa.array([None if i == NO_ID else i for i in ids.to_pylist()], pa.int64())
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])), pa.string()]
                 columns = [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans", "kept_text"]
-                yield pa.RecordBatch.from_arrays([ids, *columns][: 6 if keep_text else 5], names=names[: 6 if keep_text else 5])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns][: 6 if keep_text else 5], names=names[: 6 if keep_text else 5])
 
-    return texts.join(by_doc, "doc_id", "left").mapInArrow(keep, schema)
+    return texts.join(by_doc, "doc", "left").mapInArrow(keep, schema)

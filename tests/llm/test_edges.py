@@ -13,7 +13,7 @@ pytest.importorskip("pyarrow")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tessera.llm import exact_dedup, image_copies, langid, line_dedup, mil_toxicity, mixing, packing, pu_quality, simhash  # noqa: E402
+from tessera.llm import exact_dedup, image_copies, langid, line_dedup, mil_toxicity, mixing, packing, pu_quality, simhash, staging, substring_dedup  # noqa: E402
 from tessera.llm.queries import tokenizer_files  # noqa: E402
 from tessera.llm.ranks import ranked  # noqa: E402
 from tessera.llm.tokens import Encoder  # noqa: E402
@@ -236,3 +236,26 @@ def test_evidence_of_longer_texts_keeps_growing(spark):
     pages = spark.createDataFrame([(i, "https://a.example/", "the river " * n) for i, n in enumerate((50, 500, 5000))], "page_id long, url string, html string")
     found = {r["page_id"]: r["l0"] for r in langid.text_evidence(pages, names, logs).collect()}
     assert names[0] == "de" and found[0] > found[1] > found[2]
+
+
+def test_passages_of_rows_without_or_with_repeated_ids(spark):
+    def words(name, n=25):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [(None, words("a")), (None, words("b") + " " + words("a", 22)), (None, None), (3, words("b")), (3, words("b")), (4, "x " + words("b"))]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    # two rows without an id are documents of their own, the one that comes first by the hash of its text keeps the passage
+    without = {n: gone for i, n, gone in got if i is None}
+    assert sorted(without) == [0, 25, 47] and without[0] == 0
+    assert (without[25], without[47]) in {(22, 0), (0, 22)}
+    assert sorted(x for x in got if x[0] is not None) == [(3, 25, 25), (3, 25, 25), (4, 26, 25)]
+
+
+def test_passage_in_a_third_of_all_rows(spark):
+    common = " ".join(f"common{i}" for i in range(60))
+    rows = [(i, " ".join(f"own{i}_{k}" for k in range(40)) + (" " + common + f" end{i}" if i % 3 == 0 else "")) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    known = substring_dedup.judged(staging.staged(substring_dedup.cells(df.withColumn("doc", F.col("doc_id"))), "t_cells"))
+    assert known.filter("anchor IS NULL").count() > 0 and known.filter("anchor IS NOT NULL").count() > 0
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {i: 60 if i and i % 3 == 0 else 0 for i in range(900)}
