@@ -133,12 +133,20 @@ def test_turned_picture_is_found_and_matches_equal_brute_force(spark):
     words = np.array([[r[f"w{j}"] for j in range(4)] for r in corners], np.uint64)
     bits = np.unpackbits(words.astype("<u4").view(np.uint8).reshape(len(words), -1), axis=1)
     apart = (bits[:, None] != bits[None]).sum(axis=2)
-    close = {(corners[a]["media_id"], corners[a]["corner"], corners[b]["media_id"], corners[b]["corner"]) for a, b in zip(*np.nonzero(apart <= 7), strict=True) if corners[a]["media_id"] != corners[b]["media_id"]}
+    near = {(corners[a]["media_id"], corners[a]["corner"], corners[b]["media_id"], corners[b]["corner"]) for a, b in zip(*np.nonzero(apart <= image_copies.MOST_BITS), strict=True) if corners[a]["media_id"] != corners[b]["media_id"]}
     df = image_copies.descriptors(media)
-    got = {(r["q_media_id"], r["q_corner"], r["m_media_id"], r["m_corner"]) for r in image_copies.matches(df, df).collect()}
-    assert close <= got, "pairs within 7 bits are all met"
-    near = {(corners[a]["media_id"], corners[a]["corner"], corners[b]["media_id"], corners[b]["corner"]) for a, b in zip(*np.nonzero(apart <= image_copies.MOST_BITS), strict=True)}
-    assert got <= near
+    met = [(r["q_media_id"], r["q_corner"], r["m_media_id"], r["m_corner"]) for r in image_copies.matches(df, df).collect()]
+    assert set(met) == near and len(met) == len(near), "all pairs within the distance, each once"
+
+
+def test_all_strong_corners_describe_a_picture():
+    """A small crop of a picture full of corners keeps those that lie in it."""
+    image = image_copies.picture(np.array([1.5, 2.5]), 240)
+    whole, part = image_copies.describe(image), image_copies.describe(image[60:130, 90:160])
+    assert len(whole[0]) > 500
+    inside = {tuple(w) for w in whole[1]}
+    level = part[0][:, 2] == 1.0
+    assert level.sum() > 20 and np.mean([tuple(w) in inside for w in part[1][level]]) > 0.9
 
 
 def test_risk_and_its_slope_by_numpy(spark):
