@@ -142,7 +142,7 @@ def test_turned_picture_is_found_and_matches_equal_brute_force(spark):
 def test_all_strong_corners_describe_a_picture():
     """A small crop of a picture full of corners keeps those that lie in it."""
     image = image_copies.picture(np.array([1.5, 2.5]), 240)
-    whole, part = image_copies.describe(image), image_copies.describe(image[60:130, 90:160])
+    whole, part = image_copies.describe(image), image_copies.describe(image[60:170, 90:200])
     assert len(whole[0]) > 500
     inside = {tuple(w) for w in whole[1]}
     level = part[0][:, 2] == 1.0
