@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import exact_dedup, image_copies, langid, line_dedup, mil_toxicity, mixing, packing, pu_quality, simhash, substring_dedup
+from . import exact_dedup, image_copies, langid, line_dedup, mil_toxicity, mixing, packing, pu_quality, simhash, substring_dedup, token_counts
 from .staging import staged
 from .text import word_count
 
@@ -82,6 +82,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op12_token_counts": op12_token_counts,
 }
 
 SQL: dict[str, str] = {
