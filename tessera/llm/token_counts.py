@@ -1,7 +1,7 @@
 """Token counts of texts without their token ids.
 
 A byte-level BPE cuts a text into pre-tokens and tokenizes each on its own, so a text has as many tokens as its
-pre-tokens together.  Texts are cut once, in blocks of a few megabytes; a block keeps its distinct pre-tokens and, for
+pre-tokens together.  Texts are cut once, in blocks of some megabytes; a block keeps its distinct pre-tokens and, for
 each document, how often each of them occurs.  Each distinct pre-token of all blocks is tokenized once, for its number of
 tokens only.  The numbers are joined to the blocks' pre-tokens by a plain shuffle (a pre-token as frequent as a blank is
 one row a block, and adaptive execution splits a key with many blocks), gathered by block, and summed over the
@@ -29,7 +29,7 @@ from .text import slices
 from .tokens import PATTERN, encoder
 
 #: UTF-8 bytes of text in a block, about.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 32_000_000
 
 #: Characters of a text beyond which its pre-tokens are not listed before they are counted.
 LONG_TEXT = 1_000_000
@@ -99,25 +99,35 @@ def unpacked(body: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
 
 
-def block_row(block: int, rows: pa.RecordBatch, cut: Cutter) -> dict:
-    """The distinct pre-tokens of a block and, document by document, places among them and frequencies.
+class Block:
+    """Documents whose pre-tokens are counted together: the distinct ones, and by document places among them and frequencies."""
 
-    Places ascend within a document and are kept as differences (the first one as it is).
-    """
-    places: dict[str, int] = {}
-    steps, times, entries = [], [], []
-    for text in rows.column("text").to_pylist():
-        found = cut.count(text or "")
-        at = np.fromiter((places.setdefault(piece, len(places)) for piece in found), np.int64, len(found))
+    def __init__(self) -> None:
+        self.size = 0
+        self.places: dict[str, int] = {}
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.entries: list[int] = []
+        self.steps: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+
+    def add(self, doc_id: int | None, size: int, found: Counter[str]) -> None:
+        """Places ascend within a document and are kept as differences (the first one as it is)."""
+        places = self.places
+        at = np.fromiter((places.setdefault(piece, len(places)) for piece in found), np.int32, len(found))
         order = np.argsort(at)
-        steps.append(np.diff(at[order], prepend=0))
-        times.append(np.fromiter(found.values(), np.int64, len(found))[order])
-        entries.append(len(found))
-    # two streams of their own, so that each compresses as what it is
-    streams = [packed(np.concatenate(s)) for s in (steps, times)]
-    body = len(streams[0]).to_bytes(8, "little") + streams[0] + streams[1]
-    ids, sizes = (rows.column(c).to_pylist() for c in ("doc_id", "n_bytes"))
-    return {"block": block, "pieces": list(places), "doc_id": ids, "n_bytes": sizes, "entries": entries, "body": body}
+        self.steps.append(np.diff(at[order], prepend=np.int32(0)))
+        self.times.append(np.fromiter(found.values(), np.uint32, len(found))[order])
+        self.entries.append(len(found))
+        self.ids.append(doc_id)
+        self.sizes.append(size)
+        self.size += size
+
+    def row(self, block: int) -> dict:
+        # two streams of their own, so that each compresses as what it is
+        streams = [packed(np.concatenate(s)) for s in (self.steps, self.times)]
+        body = len(streams[0]).to_bytes(8, "little") + streams[0] + streams[1]
+        return {"block": block, "pieces": list(self.places), "doc_id": self.ids, "n_bytes": self.sizes, "entries": self.entries, "body": body}
 
 
 def block_sums(entries: list[int], body: bytes, tokens: np.ndarray) -> np.ndarray:
@@ -144,12 +154,16 @@ def count_tokens(docs: DataFrame, path: str, ranks: str | None = None, limit: in
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, block = cutter(path), TaskContext.get().partitionId() << 33
+        own, block, held = cutter(path), TaskContext.get().partitionId() << 33, Block()
         for batch in batches:
-            for part in slices(batch, "text", block_bytes):
-                row = block_row(block, part, own)
-                yield pa.RecordBatch.from_pylist([row], schema=block_schema)
-                block += 1
+            for part in slices(batch, "text"):
+                for doc_id, size, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "text")), strict=True):
+                    if held.ids and held.size + size > block_bytes:
+                        yield pa.RecordBatch.from_pylist([held.row(block)], schema=block_schema)
+                        held, block = Block(), block + 1
+                    held.add(doc_id, size, own.count(text or ""))
+        if held.ids:
+            yield pa.RecordBatch.from_pylist([held.row(block)], schema=block_schema)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, ranks)
