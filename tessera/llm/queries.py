@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import exact_dedup, image_copies, langid, line_dedup, mil_toxicity, mixing, packing, pu_quality, simhash, substring_dedup, token_counts
+from . import exact_dedup, image_copies, langid, line_dedup, merkle, mil_toxicity, mixing, packing, pu_quality, simhash, substring_dedup, token_counts
+from .merkle_sql import manifest_sql
 from .staging import staged
 from .text import word_count
 
 #: Rows of text that are handed to Python at once; texts may be long.
 BATCH_ROWS = 2000
 
+#: One row in so many of the manifest is offered tampered.
+TAMPERED = 7
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
@@ -86,6 +90,12 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row in seven, by the hash of its id, is offered with one character more than it has."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPERED == 0
+    return merkle.documents_manifest(table(spark, sf_dir, "documents"), tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -98,9 +108,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
     "op12_token_counts": op12_token_counts,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
+    "op13_merkle": manifest_sql(TAMPERED),
     "op2_exact_dedup": """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
