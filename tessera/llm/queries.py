@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import exact_dedup, image_copies, langid, line_dedup, merkle, mil_toxicity, mixing, packing, pu_quality, simhash, substring_dedup, token_counts
+from . import exact_dedup, image_copies, langid, line_dedup, merkle, mil_toxicity, mixing, packing, pu_quality, simhash, spelling, substring_dedup, token_counts
 from .merkle_sql import manifest_sql
+from .spelling_sql import VARIANTS_SQL
 from .staging import staged
 from .text import word_count
 
@@ -86,6 +87,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), *tokenizer_files())
 
@@ -107,11 +112,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_token_counts": op12_token_counts,
     "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
+    "op11_spelling_variants": VARIANTS_SQL,
     "op13_merkle": manifest_sql(TAMPERED),
     "op2_exact_dedup": """
 WITH t AS (
