@@ -34,6 +34,9 @@ BLOCK_BYTES = 32_000_000
 #: Characters of a text beyond which its pre-tokens are not listed before they are counted.
 LONG_TEXT = 1_000_000
 
+#: Bits for the tokens of a pre-token, which are fewer than its bytes.
+TOKEN_BITS = 31
+
 BLOCKS = "block long, pieces array<string>, doc_id array<long>, n_bytes array<long>, entries array<long>, body binary"
 
 
@@ -178,8 +181,8 @@ def count_tokens(docs: DataFrame, path: str, ranks: str | None = None, limit: in
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 tokens = np.zeros(len(row["found"]), np.int64)
                 if len(tokens):
-                    places, numbers = (np.asarray(x) for x in row["found"].values.flatten())
-                    tokens[places] = numbers
+                    found = np.asarray(row["found"].values)
+                    tokens[found >> TOKEN_BITS] = found & ((1 << TOKEN_BITS) - 1)
                 sums = block_sums(row["entries"].as_py(), row["body"].as_py(), tokens)
                 arrays = [row["doc_id"].values, row["n_bytes"].values, pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_tokens"])
@@ -194,9 +197,11 @@ def count_tokens(docs: DataFrame, path: str, ranks: str | None = None, limit: in
     blocks = staged(rows.mapInArrow(cut, BLOCKS), "blocks")
     pieces = blocks.select("block", F.posexplode("pieces").alias("place", "piece"))
     counted = staged(pieces.select("piece").distinct().mapInArrow(tokenize, "piece string, tokens long"), "piece_tokens")
-    met = pieces.join(counted, "piece").groupBy("block").agg(F.collect_list(F.struct("place", "tokens")).alias("found"))
+    # place and tokens as one number: an array of numbers is a quarter of an array of structs
+    found = F.shiftleft(F.col("place").cast("long"), TOKEN_BITS).bitwiseOR(F.col("tokens"))
+    met = pieces.join(counted, "piece").groupBy("block").agg(F.collect_list(found).alias("found"))
     # a block without pre-tokens meets nothing
-    whole = blocks.drop("pieces").join(met, "block", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<place:int,tokens:bigint>>")))
+    whole = blocks.drop("pieces").join(met, "block", "left").withColumn("found", F.coalesce("found", F.array().cast("array<bigint>")))
     sums = staged(whole.mapInArrow(add_up, "doc_id long, n_bytes long, n_tokens long"), "token_counts")
     release(blocks, counted)
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
