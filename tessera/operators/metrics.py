@@ -2,32 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import log_loss
+from .ranks import PART_ROWS, placed
 
 
-def average_ranks(df: DataFrame, score: str, y: str) -> DataFrame:
+def average_ranks(df: DataFrame, score: str, y: str, part_rows: int = PART_ROWS) -> DataFrame:
     """score, n, positives, rank: the average rank (from 1) of all rows with that score.
 
-    Rows are grouped by score first.  Distinct scores are then dealt by range, counted by part,
-    and numbered within parts, so no task sees all of them.
+    Rows are grouped by score first.  Distinct scores are then placed in ranges, as many as their number asks for, so it
+    makes no difference whether there are eleven scores or one for each row.
     """
     grouped = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("positives"))
-    parts = [0.05 * i for i in range(1, 20)]
-    cuts = grouped.agg(F.percentile_approx("score", parts, 200).alias("cuts"))
-    cut = grouped.crossJoin(F.broadcast(cuts)).withColumn("part", F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("score"))), F.lit(0))).drop("cuts")
-    sizes = cut.groupBy("part").agg(F.sum("n").alias("_all"))
-    starts = sizes.select("part", F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = cut.withColumn("_before", before).join(F.broadcast(starts), "part")
-    return ranked.select("score", "n", "positives", (F.col("_start") + F.col("_before") + (F.col("n") + 1) / 2.0).alias("rank"))
+    ranked = placed(grouped, ["score"], "n", part_rows)
+    return ranked.select("score", "n", "positives", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 
-def auc(df: DataFrame, score: str, y: str) -> DataFrame:
+def auc(df: DataFrame, score: str, y: str, part_rows: int = PART_ROWS) -> DataFrame:
     """One row, auc: chance that a positive is ranked above a negative; 0.5 with a single class."""
-    ranks = average_ranks(df, score, y)
+    ranks = average_ranks(df, score, y, part_rows)
     sums = ranks.agg(F.sum(F.col("positives") * F.col("rank")).alias("r"), F.sum("positives").alias("p"), F.sum("n").alias("n"))
     p, n = F.col("p"), F.col("n") - F.col("p")
     value = (F.col("r") - p * (p + 1) / 2) / (p * n)
