@@ -9,15 +9,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATE = ("n", "nulls", "sum", "sumsq", "min", "max")
+STATE = ("n", "nulls", "mean", "m2", "min", "max")
+STATE_SCHEMA = "col string, n long, nulls long, mean double, m2 double, min double, max double"
 
 
 def profile_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row a column: col, n, nulls, sum, sumsq, min, max.  One pass, partial sums in each task."""
+    """One row a column: col, n, nulls, mean, m2 (sum of squared deviations from the mean), min, max.
+
+    One pass; tasks keep centred moments and Spark merges them pairwise, so an offset common to all values costs no digits.
+    """
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
-        aggs += [F.count(x), F.count_if(x.isNull()), F.sum(x), F.sum(x * x), F.min(x), F.max(x)]
+        aggs += [F.count(x), F.count_if(x.isNull()), F.avg(x), F.var_pop(x) * F.count(x), F.min(x), F.max(x)]
     flat = df.agg(*(a.alias(f"_{i}") for i, a in enumerate(aggs)))
     k = len(STATE)
     rows = F.array(*(F.struct(F.lit(c).alias("col"), *(F.col(f"_{i * k + j}").alias(s) for j, s in enumerate(STATE))) for i, c in enumerate(columns)))
@@ -25,8 +29,15 @@ def profile_state(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def merge_states(states: DataFrame) -> DataFrame:
-    """Add up states of the same column, of any number of batches."""
-    return states.groupBy("col").agg(*(F.sum(s).alias(s) for s in STATE[:4]), F.min("min").alias("min"), F.max("max").alias("max"))
+    """States of the same column, of any number of batches, as one.
+
+    The mean of the whole comes first; then each batch adds its own deviations and those of its mean from that mean.  So
+    nothing large is subtracted, and states of states may be merged again in any order.
+    """
+    means = states.groupBy("col").agg((F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))).alias("_mean"))
+    apart = F.col("mean") - F.col("_mean")
+    m2 = F.sum(F.col("m2") + F.col("n") * apart * apart)
+    return states.join(means, "col").groupBy("col").agg(F.sum("n").alias("n"), F.sum("nulls").alias("nulls"), F.first("_mean").alias("mean"), m2.alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"))
 
 
 def finish_profile(states: DataFrame) -> DataFrame:
@@ -36,28 +47,18 @@ def finish_profile(states: DataFrame) -> DataFrame:
     """
     n = F.col("n")
     total = n + F.col("nulls")
-    spread = F.greatest((F.col("sumsq") - F.col("sum") * F.col("sum") / n) / (n - 1), F.lit(0.0))
-    variance = F.when(n > 1, spread).when(n == 1, F.lit(0.0))
+    variance = F.when(n > 1, F.col("m2") / (n - 1)).when(n == 1, F.lit(0.0))
     return states.select(
         "col", "n", "nulls",
         F.when(total > 0, F.col("nulls") / total * 100).otherwise(0.0).alias("null_pct"),
-        F.when(n > 0, F.col("sum") / n).alias("mean"), variance.alias("variance"), F.sqrt(variance).alias("std"),
+        "mean", variance.alias("variance"), F.sqrt(variance).alias("std"),
         "min", "max",
     )
 
 
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Profile in one pass; the variance is computed about the mean, so large values lose no digits."""
-    aggs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x), F.count_if(x.isNull()), F.avg(x), F.when(F.count(x) == 1, 0.0).otherwise(F.var_samp(x)), F.min(x), F.max(x)]
-    flat = df.agg(*(a.alias(f"_{i}") for i, a in enumerate(aggs)))
-    names = ("n", "nulls", "mean", "variance", "min", "max")
-    rows = F.array(*(F.struct(F.lit(c).alias("col"), *(F.col(f"_{i * 6 + j}").alias(s) for j, s in enumerate(names))) for i, c in enumerate(columns)))
-    total = F.col("n") + F.col("nulls")
-    pct = F.when(total > 0, F.col("nulls") / total * 100).otherwise(0.0)
-    return flat.select(F.inline(rows)).select("col", "n", "nulls", pct.alias("null_pct"), "mean", "variance", F.sqrt("variance").alias("std"), "min", "max")
+    """Profile in one pass."""
+    return finish_profile(profile_state(df, columns))
 
 
 def count_per_key(df: DataFrame, key: str, name: str) -> DataFrame:
