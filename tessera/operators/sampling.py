@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 
 def split_hash_value(seed: int, key: Column) -> Column:
     """First 8 hex digits of md5(seed, key)."""
@@ -82,13 +88,105 @@ def _copies(df: DataFrame, key: str, target: int, seed: int) -> DataFrame:
         raise ValueError("the table to resize is empty")
     if n >= target:
         return (df if n == target else split_exact_count(df, key, target, seed)).withColumn("_each", F.lit(1).cast("bigint"))
+    # a row joins its count, so the join meets each row once
+    return df.join(bootstrap_counts(df, key, target, seed), key).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_times")
+
+
+#: Rows that share the draws of a leaf of the tree of hash prefixes, about.
+LEAF_ROWS = 10_000
+#: Hex digits of the part of the tree that the driver splits: 65,536 counts at most.
+TOP_DIGITS = 4
+#: Draws a row beyond which a count is not found by adding up probabilities.
+MANY = 256
+
+
+def bootstrap_counts(df: DataFrame, key: str, target: int, seed: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """(key, _times): how often each row is drawn in ``target`` draws with replacement, rows that are drawn at all.
+
+    Counts are those of independent draws, but no draw is made.  Rows are the leaves of a tree of the digits of their
+    hash; at each node the draws are split among the children by binomials that depend on seed and node only, in proportion
+    to the rows below.  Within the last node rows take their counts one after the other, in order of their hash, so
+    a task holds a few numbers whatever the size of a node.  Counts add up to ``target`` and don't depend on partitioning.
+    Only keys are shuffled.  ``key`` must be unique and not null.
+    """
     spark = df.sparkSession
-    drawn = F.conv(split_hash_value(seed, F.col("id")), 16, 10).cast("bigint") % n
-    draws = spark.range(target).select(drawn.alias("_draw"))
-    # as many draws of a row as it gets: grouped first, so the join meets each row once
-    times = draws.groupBy("_draw").agg(F.count("*").alias("_times"))
-    indexed = dense_index(df, key, "_index", n)
-    return indexed.join(times, F.col("_index") == F.col("_draw")).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+    hashed = staged(df.select(F.col(key).alias("_key"), F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")).alias("_h")), "hashed")
+    n, digits = hashed.count(), 0
+    while leaf_rows * 16**digits < n:
+        digits += 1
+    prefix = F.substring("_h", 1, digits) if digits else F.lit("")
+    nodes = hashed.groupBy(prefix.alias("_prefix")).agg(F.count("*").alias("_rows"))
+    top = nodes.groupBy(F.substring("_prefix", 1, TOP_DIGITS).alias("_top")).agg(F.sum("_rows").alias("_rows")).orderBy("_top").collect()
+    draws = split_draws(target, [r["_rows"] for r in top], f"{seed}|")
+    tops = spark.createDataFrame([(r["_top"], d) for r, d in zip(top, draws, strict=True)], "_top string, _draws long")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                below = row["_below"]
+                rows = [r["_rows"] for r in below]
+                yield pa.RecordBatch.from_pydict({"_prefix": [r["_prefix"] for r in below], "_rows": rows, "_draws": split_draws(row["_draws"], rows, f"{seed}|{row['_top']}")})
+
+    # 16 ** (digits - TOP_DIGITS) nodes below each top at most
+    below = nodes.groupBy(F.substring("_prefix", 1, TOP_DIGITS).alias("_top")).agg(F.array_sort(F.collect_list(F.struct("_prefix", "_rows"))).alias("_below"))
+    leaves = below.join(tops, "_top").mapInArrow(split, "_prefix string, _rows long, _draws long")
+    nothing = F.lit(None).cast("long")
+    marked = leaves.select("_prefix", F.lit("").alias("_h"), F.lit(None).cast(hashed.schema["_key"].dataType).alias("_key"), "_rows", "_draws")
+    # the head of a leaf comes before its rows
+    streams = marked.unionByName(hashed.select(prefix.alias("_prefix"), "_h", "_key", nothing.alias("_rows"), nothing.alias("_draws")))
+    dealt = streams.repartition("_prefix").sortWithinPartitions("_prefix", "_h", "_key")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = left = 0
+        for batch in batches:
+            times = []
+            for h, head_rows, head_draws in zip(*(batch.column(c).to_pylist() for c in ("_h", "_rows", "_draws")), strict=True):
+                if h == "":
+                    rows, left = head_rows, head_draws
+                    times.append(0)
+                    continue
+                k = draws_of_one(left, rows, h, seed)
+                rows, left = rows - 1, left - k
+                times.append(k)
+            drawn = pa.array(times, pa.int64())
+            keep = pa.array(np.array(times) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("_key").filter(keep), drawn.filter(keep)], names=["_key", "_times"])
+
+    counts = dealt.mapInArrow(take, f"_key {hashed.schema['_key'].dataType.simpleString()}, _times long")
+    return staged(counts.withColumnRenamed("_key", key), "times")
+
+
+def _generator(name: str) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=int.from_bytes(sha256(name.encode()).digest()[:16], "little")))
+
+
+def split_draws(draws: int, rows: Sequence[int], name: str) -> list[int]:
+    """Draws with replacement from all ``rows`` together, as a number for each group; a function of ``name``."""
+    made, left, out = _generator(name), sum(rows), []
+    for n in rows:
+        k = draws if n == left else int(made.binomial(draws, n / left))
+        out.append(k)
+        draws, left = draws - k, left - n
+    return out
+
+
+def draws_of_one(draws: int, rows: int, h: str, seed: int) -> int:
+    """How many of ``draws`` fall on the first of ``rows`` rows: a binomial number, found from its hash ``h``.
+
+    The 60 bits after the 16 digits that order rows are compared with the sums of probabilities, 0 draws first.
+    """
+    if rows == 1 or not draws:
+        return draws
+    if draws > MANY * rows:
+        return int(_generator(f"{seed}|{h}").binomial(draws, 1 / rows))
+    u, p = int(h[16:31], 16) / 2**60, 1 / rows
+    k, chance = 0, (1 - p) ** draws
+    total = chance
+    while u >= total and k < draws and chance > 0:
+        chance *= (draws - k) / (k + 1) * (p / (1 - p))
+        total += chance
+        k += 1
+    return k
 
 
 def split_exact_count(df: DataFrame, key: str, target: int, seed: int) -> DataFrame:
