@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalized, to_double, to_flag, to_long, trimmed
@@ -28,8 +28,10 @@ def reject_reason(id: Column, age: Column, psa: Column) -> Column:
 
 def typed_rows(raw: DataFrame) -> DataFrame:
     """Valid rows of a raw cohort table, typed; optional numbers that don't parse are 0."""
-    valid = raw.filter(reject_reason(F.col("id"), F.col("age"), F.col("psa")).isNull())
+    return _typed(raw.filter(reject_reason(F.col("id"), F.col("age"), F.col("psa")).isNull()))
 
+
+def _typed(valid: DataFrame) -> DataFrame:
     def number(c: str) -> Column:
         return F.coalesce(to_double(F.col(c)), F.lit(0.0)).alias(c)
 
@@ -53,6 +55,29 @@ def reject_counts(raw: DataFrame) -> DataFrame:
     return raw.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+REASONS = ("id", "age", "psa")
+
+
+def typed_rows_counted(raw: DataFrame, name: str = "rejects") -> tuple[DataFrame, Observation]:
+    """``typed_rows`` and an observation of the same pass: rows, valid, and the rejected ones by reason.
+
+    The counts travel with the tasks that read the rows; they are there once an action has run over all of the result (what it
+    does with it makes no difference), and take no scan of their own.
+    """
+    marked = raw.withColumn("_reason", reject_reason(F.col("id"), F.col("age"), F.col("psa")))
+    counted = Observation(name)
+    counts = [F.count_if(F.col("_reason") == r).alias(r) for r in REASONS]
+    seen = marked.observe(counted, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_reason").isNull()).alias("valid"), *counts)
+    return _typed(seen.filter(F.col("_reason").isNull())), counted
+
+
+def observed_counts(spark: SparkSession, counted: Observation) -> DataFrame:
+    """The observation as ``reject_counts`` gives it: (reason, n) of what occurs."""
+    found = counted.get
+    rows = [(reason, found[reason]) for reason in ("valid", *REASONS) if found.get(reason)]
+    return spark.createDataFrame(rows, "reason string, n long")
+
+
 def violations(rules: Mapping[str, Column]) -> Column:
     """Names of the rules that a row breaks; a rule that gives null is broken."""
     return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items())))
