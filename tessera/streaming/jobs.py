@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,19 @@ def report_telemetry(requests: DataFrame, latency: str, name: str, checkpoint: s
     return writer.option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def telemetry_run(requests: DataFrame, latency: str, name: str, checkpoint: str, every: str = TELEMETRY_EVERY) -> tuple[DataFrame, DataFrame]:
+    """``report_telemetry`` on its timed trigger until all that the source holds is reported: the table, and (trigger, requests) of
+    each trigger that met some, as the query's own progress reports give them (the latest ones that Spark keeps)."""
+    query = report_telemetry(requests, latency, name, checkpoint, every)
+    try:
+        query.processAllAvailable()
+        met = [(p["batchId"], p["numInputRows"]) for p in query.recentProgress if p["numInputRows"]]
+    finally:
+        query.stop()
+    spark = requests.sparkSession
+    return spark.table(name), spark.createDataFrame(met, "trigger long, requests long")
+
+
 def first_in_ttl(stream: DataFrame, key: str, time: str, ttl: str) -> DataFrame:
     """Rows whose key was not seen within ``ttl`` of event time; state goes as the watermark passes."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
@@ -85,6 +99,49 @@ def reuse_with_ttl(stream: DataFrame, key: str, ttl_ms: int) -> DataFrame:
     return grouped.transformWithStateInPandas(Reuse(), "key string, requests bigint, computed bigint", "Append", "ProcessingTime")
 
 
+def reuse_on_clock(stream: DataFrame, key: str, time: str, id: str, ttl_ms: int, late: str = "1 hour") -> DataFrame:
+    """(id, hit) of each request: whether its key has a result that was computed less than ``ttl_ms`` before, by the requests' own time.
+
+    A request without a live result computes one, which is good for ``ttl_ms`` from then, however often it is used.  State
+    is one time a key; a timer removes it when the watermark, ``late`` behind the latest request, has passed its end.  Of one
+    batch of a key only times and ids are held.  Requests that come after the watermark are left out, as in any such
+    stream.  Needs ``STATE_STORE``.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Reuse(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.written = handle.getValueState("written", "at bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            found = pd.concat(list(rows)).sort_values(["at", "id"], ignore_index=True)
+            times = found["at"].to_numpy()
+            before = self.written.get()[0] if self.written.exists() else None
+            hit, at, end = np.ones(len(times), bool), before, 0 if before is None else int(np.searchsorted(times, before + ttl_ms))
+            # from one computed result to the next: the first request at or after its end
+            while end < len(times):
+                hit[end], at = False, int(times[end])
+                end = int(np.searchsorted(times, at + ttl_ms))
+            if at != before:
+                if before is not None:
+                    self.handle.deleteTimer(before + ttl_ms)
+                self.written.update((at,))
+                self.handle.registerTimer(at + ttl_ms)
+            yield pd.DataFrame({"id": found["id"], "hit": hit})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.written.clear()
+            yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "hit": pd.Series([], dtype="bool")})
+
+        def close(self) -> None:
+            pass
+
+    timed = stream.select(F.col(key).alias("key"), F.col(id).cast("bigint").alias("id"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", late)
+    grouped = timed.withColumn("at", F.unix_millis("time")).groupBy("key")
+    return grouped.transformWithStateInPandas(Reuse(), "id bigint, hit boolean", "Append", "EventTime")
+
+
 def profile_batches(stream: DataFrame, columns: Sequence[str], path: str, checkpoint: str) -> DataStreamWriter:
     """Profile state of each micro-batch; ``merged_profile`` adds them up."""
     return append_batches(stream, lambda batch: profile_state(batch, columns), path, checkpoint)
