@@ -6,16 +6,16 @@ A model is a pair of a link and a loss in ``z = w[0] + w[1:] * x``; the gradient
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, log_loss, sigmoid
-from .aggregates import gram_matrix
 
 EPS = 1e-12
 
@@ -64,29 +64,76 @@ def gradient_state(df: DataFrame, model: GlmModel, weights: Sequence[float], xs:
     return rows.agg(F.array(*sums).alias("g"), F.sum(model.column_loss(F.col("_p"), F.col("_y"))).alias("loss"), F.count("*").alias("n"))
 
 
-def gradient(df: DataFrame, model: GlmModel, weights: np.ndarray, xs: Sequence[str], y: str) -> tuple[np.ndarray, float, int]:
-    """(sum of gradients, sum of losses, rows): tasks work on Arrow blocks and give one row each."""
-    d = len(xs) + 1
+#: Rows of a block: 8 MB at a dozen columns.
+BLOCK_ROWS = 65_536
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(d + 2)
+
+def blocks(df: DataFrame, xs: Sequence[str], ys: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
+    """(n, cells): the rows of ``df`` as matrices of (1, xs, ys), one a block, for passes that read all columns of all rows.
+
+    A block is one value of the table, so keeping, spilling and handing it on cost nothing a row.
+    """
+    columns = [*xs, *ys]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            a = np.ones((batch.num_rows, d))
-            for i in range(d - 1):
+            a = np.ones((batch.num_rows, len(columns) + 1))
+            for i in range(len(columns)):
                 a[:, i + 1] = np.asarray(batch.column(i))
-            target = np.asarray(batch.column(d - 1))
-            p = model.block(a @ weights)
-            total[:d] += (p - target) @ a
-            total[d] += model.block_loss(p, target).sum()
-            total[d + 1] += batch.num_rows
+            held.append(a)
+            if sum(map(len, held)) >= rows:
+                yield _block(held)
+                held = []
+        if held:
+            yield _block(held)
+
+    return df.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(pack, "n long, cells binary")
+
+
+def _block(parts: list[np.ndarray]) -> pa.RecordBatch:
+    a = np.concatenate(parts)
+    return pa.RecordBatch.from_arrays([pa.array([len(a)], pa.int64()), pa.array([a.tobytes()], pa.binary())], names=["n", "cells"])
+
+
+def _block_sums(packed: DataFrame, size: int, add: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    """Sum over all blocks of the ``size`` numbers that ``add`` makes of one; tasks add up theirs, Spark adds up the tasks'."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for n, cells in zip(batch.column("n").to_pylist(), batch.column("cells"), strict=True):
+                total += add(np.frombuffer(cells.as_buffer(), np.float64).reshape(n, width))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
 
-    rows = df.select(*xs, y).mapInArrow(partial, "s array<double>")
-    parts = rows.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    total = np.zeros(d + 2)
-    for i, v in parts:
-        total[i] = v
-    return total[:d], float(total[d]), int(total[d + 1])
+    sums = packed.mapInArrow(partial, "s array<double>").agg(*(F.sum(F.col("s")[i]) for i in range(size))).first()
+    return np.array([x or 0.0 for x in sums])
+
+
+def block_gradients(packed: DataFrame, d: int, width: int, models: Sequence[tuple[GlmModel, int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sums of gradients by model, sums of losses, rows) of several models in one pass over ``blocks``.
+
+    ``models`` gives each one's place among the targets, ``weights`` a row of ``d`` weights for each.
+    """
+
+    def add(a: np.ndarray) -> np.ndarray:
+        x, out = a[:, :d], []
+        z = x @ weights.T
+        for j, (model, at) in enumerate(models):
+            y, p = a[:, d + at], model.block(z[:, j])
+            out += [*((p - y) @ x), model.block_loss(p, y).sum()]
+        return np.array([*out, len(a)])
+
+    total = _block_sums(packed, len(models) * (d + 1) + 1, add, width)
+    each = total[:-1].reshape(len(models), d + 1)
+    return each[:, :d], each[:, d], int(total[-1])
+
+
+def gradient(df: DataFrame, model: GlmModel, weights: np.ndarray, xs: Sequence[str], y: str) -> tuple[np.ndarray, float, int]:
+    """(sum of gradients, sum of losses, rows) of one model over rows that are not in blocks yet."""
+    d = len(xs) + 1
+    g, loss, n = block_gradients(blocks(df, xs, [y]), d, d + 1, [(model, 0)], np.atleast_2d(weights))
+    return g[0], float(loss[0]), n
 
 
 def mean_gradient(total: np.ndarray, loss: float, n: int, weights: np.ndarray, l2: float) -> tuple[np.ndarray, float]:
@@ -99,19 +146,46 @@ def mean_gradient(total: np.ndarray, loss: float, n: int, weights: np.ndarray, l
 
 
 def train(df: DataFrame, model: GlmModel, xs: Sequence[str], y: str, epochs: int, rate: float, l2: float) -> tuple[np.ndarray, list[float]]:
-    """Weights and the loss before each step.  Linear models need one pass for all epochs."""
-    weights, history = np.zeros(len(xs) + 1), []
-    if model is LINEAR:
-        m = gram_matrix(df, [*xs, y])
-        n, xx, xy, yy = m[0, 0], m[:-1, :-1], m[:-1, -1], m[-1, -1]
-        for _ in range(epochs):
-            loss = 0.5 * float(weights @ xx @ weights - 2 * weights @ xy + yy)
-            g, mean_loss = mean_gradient(xx @ weights - xy, loss, int(n), weights, l2)
-            history.append(mean_loss)
-            weights = weights - rate * g
-        return weights, history
+    """Weights and the loss before each step of one model."""
+    return train_all(df, {y: (model, y)}, xs, epochs, rate, l2)[y]
+
+
+def train_all(df: DataFrame, models: Mapping[str, tuple[GlmModel, str]], xs: Sequence[str], epochs: int, rate: float, l2: float) -> dict[str, tuple[np.ndarray, list[float]]]:
+    """Weights and the loss before each step, by name, of models (and their targets) with the same features.
+
+    Rows are packed into blocks once, which are kept in memory or on disk; what is lost is packed again.  Linear models
+    need one pass for all epochs, in which all of their targets are met; the others share one pass an epoch.
+    """
+    ys = list(dict.fromkeys(y for _, y in models.values()))
+    d, width = len(xs) + 1, len(xs) + 1 + len(ys)
+    packed = blocks(df, xs, ys).persist(StorageLevel.MEMORY_AND_DISK)
+    out = {}
+    try:
+        linear = {name: ys.index(y) for name, (model, y) in models.items() if model is LINEAR}
+        if linear:
+            m = _block_sums(packed, width * width, lambda a: (a.T @ a).ravel(), width).reshape(width, width)
+            for name, at in linear.items():
+                out[name] = _train_linear(m[0, 0], m[:d, :d], m[:d, d + at], m[d + at, d + at], epochs, rate, l2)
+        others = {name: (model, ys.index(y)) for name, (model, y) in models.items() if model is not LINEAR}
+        if others:
+            weights, histories = np.zeros((len(others), d)), [[] for _ in others]
+            for _ in range(epochs):
+                g, losses, n = block_gradients(packed, d, width, list(others.values()), weights)
+                steps = [mean_gradient(g[j], losses[j], n, weights[j], l2) for j in range(len(others))]
+                for history, (_, mean_loss) in zip(histories, steps, strict=True):
+                    history.append(float(mean_loss))
+                weights = weights - rate * np.array([step for step, _ in steps])
+            out |= {name: (weights[j], histories[j]) for j, name in enumerate(others)}
+    finally:
+        packed.unpersist()
+    return out
+
+
+def _train_linear(n: float, xx: np.ndarray, xy: np.ndarray, yy: float, epochs: int, rate: float, l2: float) -> tuple[np.ndarray, list[float]]:
+    weights, history = np.zeros(len(xy)), []
     for _ in range(epochs):
-        g, mean_loss = mean_gradient(*gradient(df, model, weights, xs, y), weights, l2)
+        loss = 0.5 * float(weights @ xx @ weights - 2 * weights @ xy + yy)
+        g, mean_loss = mean_gradient(xx @ weights - xy, loss, int(n), weights, l2)
         history.append(mean_loss)
         weights = weights - rate * g
     return weights, history

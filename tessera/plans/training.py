@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,13 +92,11 @@ def fit(df: DataFrame, spec: FeatureSpec, config: TrainConfig = TrainConfig()) -
     k = len(spec.names)
     scaler = ft.Scaler(stats.columns[:k], stats.mean[:k], stats.std[:k])
     target_scaler = ft.Scaler(stats.columns[k:], stats.mean[k:], stats.std[k:])
-    # read in every epoch; what doesn't fit in memory is kept on disk, what is lost is computed again
-    train_rows = target_scaler.transform(scaler.transform(data.filter("NOT is_test"))).select(*spec.names, *targets).persist(StorageLevel.MEMORY_AND_DISK)
-    weights, history = {}, {}
-    for name, y in zip(models.MODELS, targets, strict=True):
-        w, losses = models.train(train_rows, models.MODELS[name], spec.names, y, config.epochs, config.rate, config.l2)
-        weights[name], history[name] = tuple(float(x) for x in w), losses
-    train_rows.unpersist()
+    train_rows = target_scaler.transform(scaler.transform(data.filter("NOT is_test"))).select(*spec.names, *targets)
+    jobs = {name: (model, y) for (name, model), y in zip(models.MODELS.items(), targets, strict=True)}
+    fitted = models.train_all(train_rows, jobs, spec.names, config.epochs, config.rate, config.l2)
+    weights = {name: tuple(float(x) for x in w) for name, (w, _) in fitted.items()}
+    history = {name: losses for name, (_, losses) in fitted.items()}
     bundle = Bundle(
         tuple(spec.names), scaler.mean, scaler.std, weights["mortality"], weights["survival"], weights["cost"],
         target_scaler.mean[0], target_scaler.std[0], target_scaler.mean[1], target_scaler.std[1], history,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +14,7 @@ from .registry import DATA_SQL, LINES, lines, query, rounded
 
 ALL = [*LINES.names, LINES.binary_target, *LINES.continuous_targets]
 KEPT = LINES.continuous  # one-hot columns are left out where the SQL would only get longer
-FEW = ("l_quantity", "l_discount", "l_tax", "o_orderpriority_0")
-EPOCHS, RATE, L2 = 5, 0.5, 1e-4
+EPOCHS, RATE, L2 = 60, 0.5, 1e-4
 
 
 def _data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +76,10 @@ def scaler_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, mean=MEAN_DIGITS, std=6)
 
 
-@query(f"WITH {DATA_SQL} SELECT id, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM data)) / (SELECT {STD.format(c=c)} FROM data), 8) AS {c}" for c in FEW) + " FROM data")
+@query(f"WITH {DATA_SQL} SELECT id, " + ", ".join(f"round(({c} - (SELECT avg({c}) FROM data)) / (SELECT {STD.format(c=c)} FROM data), 8) AS {c}" for c in LINES.names) + " FROM data")
 def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _data(spark, sf_dir).select("id", *FEW)
-    return rounded(ft.fit_scaler(data, FEW).transform(data), **dict.fromkeys(FEW, 8))
+    data = _data(spark, sf_dir).select("id", *LINES.names)
+    return rounded(ft.fit_scaler(data, LINES.names).transform(data), **dict.fromkeys(LINES.names, 8))
 
 
 @query(f"WITH {DATA_SQL}, z AS (SELECT id, ship_days, (ship_days - (SELECT avg(ship_days) FROM data)) / (SELECT {STD.format(c='ship_days')} FROM data) AS z FROM data) SELECT id, round(z, 8) AS scaled, ship_days AS back FROM z")
@@ -96,66 +96,91 @@ def minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ft.min_max(_data(spark, sf_dir).select("id", *KEPT), list(KEPT)), **dict.fromkeys(KEPT, 9))
 
 
-Z_SQL = f"{DATA_SQL},\nz AS (SELECT id, " + ", ".join(f"({c} - avg({c}) OVER ()) / sqrt(greatest(var_pop({c}) OVER (), 1e-12)) AS {c}" for c in (*FEW, *LINES.continuous_targets)) + ", returned FROM data)"
-START = (0.1, -0.2, 0.3, 0.05, -0.15)
+def _z_sql(rows: str = "data", more: str = "", fit: str = "true") -> str:
+    """Standardised features and continuous targets; moments are those of the rows that ``fit`` holds for."""
+    z = ", ".join(f"({c} - avg({c}) FILTER ({fit}) OVER ()) / sqrt(greatest(var_pop({c}) FILTER ({fit}) OVER (), 1e-12)) AS {c}" for c in (*LINES.names, *LINES.continuous_targets))
+    return f"z AS MATERIALIZED (SELECT id, {z}, returned{more} FROM {rows})"
+
+
+Z_SQL = f"{DATA_SQL},\n{_z_sql()}"
+#: Some weights that no symmetry hides.
+START = tuple(round(0.3 * (-0.8) ** i + 0.01 * i, 4) for i in range(len(LINES.names) + 1))
+WEIGHT_NUMBERS = range(len(START))
+#: The SQL of each link and loss, of ``t`` (the linear part), ``p`` (what the link makes of it) and ``y``.
+LOGISTIC_SQL = ("1 / (1 + exp(-({t})))", "-({y} * ln(least(greatest({p}, 1e-12), 1 - 1e-12)) + (1 - {y}) * ln(1 - least(greatest({p}, 1e-12), 1 - 1e-12)))")
+LINEAR_SQL = ("({t})", "({p} - {y}) * ({p} - {y}) / 2")
 
 
 def _standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = [*FEW, *LINES.continuous_targets]
+    columns = [*LINES.names, *LINES.continuous_targets]
     data = _data(spark, sf_dir).select("id", *columns, LINES.binary_target)
     return ft.fit_scaler(data, columns).transform(data)
 
 
-def _gradient_sql(link: str, loss: str, y: str) -> str:
-    z = " + ".join([str(START[0]) + "::DOUBLE", *(f"{w}::DOUBLE * {c}" for w, c in zip(START[1:], FEW, strict=True))])
-    sums = ", ".join(["round(sum(p - y), 4) AS g0", *(f"round(sum((p - y) * {c}), 4) AS g{i + 1}" for i, c in enumerate(FEW))])
-    return f"WITH {Z_SQL}, p AS (SELECT *, {y} AS y, {z} AS t FROM z), q AS (SELECT *, {link} AS p FROM p) SELECT {sums}, round(sum({loss}), 4) AS loss, count(*) AS n FROM q"
-
-
-LOG_LOSS_SQL = "-(y * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)))"
+def _gradient_sql(kind: tuple[str, str], y: str) -> str:
+    z = " + ".join([str(START[0]) + "::DOUBLE", *(f"{w}::DOUBLE * {c}" for w, c in zip(START[1:], LINES.names, strict=True))])
+    sums = ", ".join(["round(sum(p - y), 4) AS g0", *(f"round(sum((p - y) * {c}), 4) AS g{i + 1}" for i, c in enumerate(LINES.names))])
+    return f"WITH {Z_SQL}, p AS (SELECT *, {y} AS y, {z} AS t FROM z), q AS (SELECT *, {kind[0].format(t='t')} AS p FROM p) SELECT {sums}, round(sum({kind[1].format(p='p', y='y')}), 4) AS loss, count(*) AS n FROM q"
 
 
 def _flat_gradient(state: DataFrame) -> DataFrame:
-    return state.select(*(F.round(F.col("g")[i], 4).alias(f"g{i}") for i in range(len(START))), F.round("loss", 4).alias("loss"), "n")
+    return state.select(*(F.round(F.col("g")[i], 4).alias(f"g{i}") for i in WEIGHT_NUMBERS), F.round("loss", 4).alias("loss"), "n")
 
 
-@query(_gradient_sql("1 / (1 + exp(-t))", LOG_LOSS_SQL, "returned"))
+@query(_gradient_sql(LOGISTIC_SQL, "returned"))
 def logistic_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_gradient(models.gradient_state(_standardised(spark, sf_dir), models.LOGISTIC, START, FEW, "returned"))
+    return _flat_gradient(models.gradient_state(_standardised(spark, sf_dir), models.LOGISTIC, START, LINES.names, "returned"))
 
 
-@query(_gradient_sql("t", "(p - y) * (p - y) / 2", "o_totalprice"))
+@query(_gradient_sql(LINEAR_SQL, "o_totalprice"))
 def linear_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat_gradient(models.gradient_state(_standardised(spark, sf_dir), models.LINEAR, START, FEW, "o_totalprice"))
+    return _flat_gradient(models.gradient_state(_standardised(spark, sf_dir), models.LINEAR, START, LINES.names, "o_totalprice"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS model, * FROM ({_gradient_sql(kind, y)})" for m, kind, y in (("mortality", LOGISTIC_SQL, "returned"), ("survival", LINEAR_SQL, "ship_days"), ("cost", LINEAR_SQL, "o_totalprice"))))
+def block_gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gradients of all three models in one pass over blocks of rows."""
+    targets = [LINES.binary_target, *LINES.continuous_targets]
+    packed = models.blocks(_standardised(spark, sf_dir), LINES.names, targets)
+    jobs = [(model, at) for at, model in enumerate(models.MODELS.values())]
+    d = len(START)
+    g, losses, n = models.block_gradients(packed, d, d + len(targets), jobs, np.array([START] * len(jobs)))
+    rows = [(name, g[j].tolist(), float(losses[j]), n) for j, name in enumerate(models.MODELS)]
+    state = spark.createDataFrame(rows, "model string, g array<double>, loss double, n long")
+    return state.select("model", *(F.round(F.col("g")[i], 4).alias(f"g{i}") for i in WEIGHT_NUMBERS), F.round("loss", 4).alias("loss"), "n")
+
 
+def _descent_sql(name: str, kind: tuple[str, str], y: str, rows: str = "z") -> str:
+    """Gradient descent as a recursive relation (epoch, w0.., loss): each step aggregates all rows at the weights before it."""
+    x = ["1.0::DOUBLE", *LINES.names]
+    t = " + ".join(f"w{i} * {x[i]}" for i in WEIGHT_NUMBERS)
+    p = kind[0].format(t=t)
+    step = ", ".join(f"any_value(w{i}) - {RATE}::DOUBLE * (avg((p - {y}) * {x[i]}){f' + {L2}::DOUBLE * any_value(w{i})' if i else ''}) AS w{i}" for i in WEIGHT_NUMBERS)
+    zeros = ", ".join(f"0.0::DOUBLE AS w{i}" for i in WEIGHT_NUMBERS)
+    return f"""{name} AS (
+  SELECT 0 AS epoch, {zeros}, 0.0::DOUBLE AS loss
+  UNION ALL
+  SELECT any_value(epoch) + 1 AS epoch, {step}, avg({kind[1].format(p='p', y=y)}) AS loss
+  FROM (SELECT *, {p} AS p FROM {name}, {rows} WHERE epoch < {EPOCHS}) HAVING count(*) > 0)"""
 
-def _train_sql(link: str, y: str) -> str:
-    """Gradient descent as a recursive query: each step aggregates all rows at the weights before."""
-    k = range(len(FEW) + 1)
-    x = ["1.0::DOUBLE", *FEW]
-    t = " + ".join(f"w{i} * {x[i]}" for i in k)
-    step = ", ".join(f"any_value(w{i}) - {RATE}::DOUBLE * (avg(({link.replace('t', '(' + t + ')') if link == 't' else link.replace('-t', '-(' + t + ')')} - {y}) * {x[i]}){f' + {L2}::DOUBLE * any_value(w{i})' if i else ''}) AS w{i}" for i in k)
-    zeros = ", ".join(f"0.0::DOUBLE AS w{i}" for i in k)
-    return f"""WITH RECURSIVE {Z_SQL},
-gd AS (SELECT 0 AS epoch, {zeros} UNION ALL SELECT any_value(epoch) + 1 AS epoch, {step} FROM gd, z WHERE epoch < {EPOCHS} HAVING count(*) > 0)
-SELECT i AS weight, round([{', '.join(f'w{i}' for i in k)}][i + 1], 8) AS value FROM gd, range({len(FEW) + 1}) r(i) WHERE epoch = {EPOCHS}"""
+
+def _train_sql(kind: tuple[str, str], y: str) -> str:
+    found = ", ".join(f"w{i}" for i in WEIGHT_NUMBERS)
+    return f"WITH RECURSIVE {Z_SQL},\n{_descent_sql('gd', kind, y)}\nSELECT i AS weight, round([{found}][i + 1], 8) + 0.0::DOUBLE AS value FROM gd, range({len(START)}) r(i) WHERE epoch = {EPOCHS}"
 
 
 def _weights(spark: SparkSession, weights) -> DataFrame:
-    return spark.createDataFrame([(i, round(float(w), 8)) for i, w in enumerate(weights)], "weight long, value double")
+    return spark.createDataFrame([(i, round(float(w), 8) + 0.0) for i, w in enumerate(weights)], "weight long, value double")
 
 
-@query(_train_sql("1 / (1 + exp(-t))", "returned"))
+@query(_train_sql(LOGISTIC_SQL, "returned"))
 def train_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = _standardised(spark, sf_dir).persist()
-    weights, _ = models.train(data, models.LOGISTIC, list(FEW), "returned", EPOCHS, RATE, L2)
-    data.unpersist()
-    return _weights(spark, weights)
+    return _weights(spark, models.train(_standardised(spark, sf_dir), models.LOGISTIC, LINES.names, "returned", EPOCHS, RATE, L2)[0])
 
 
-@query(_train_sql("t", "o_totalprice"))
+@query(_train_sql(LINEAR_SQL, "o_totalprice"))
 def train_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _weights(spark, models.train(_standardised(spark, sf_dir), models.LINEAR, list(FEW), "o_totalprice", EPOCHS, RATE, L2)[0])
+    return _weights(spark, models.train(_standardised(spark, sf_dir), models.LINEAR, LINES.names, "o_totalprice", EPOCHS, RATE, L2)[0])
 
 
 #: Fixed weights, so that scoring is compared apart from training.
@@ -195,38 +220,51 @@ def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report, mean_risk=8, mean_survival_days=4, mean_survival_years=6, mean_cost=2, total_cost=0)
 
 
-CONFIG = training.TrainConfig(epochs=5)
+CONFIG = training.TrainConfig(epochs=EPOCHS, rate=RATE, l2=L2)
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[training.Bundle, DataFrame]:
     return training.fit(lines(spark, sf_dir), LINES, CONFIG)
 
 
-def _loss_sql() -> str:
-    """Losses of both linear models and the logistic one at zero weights, which no step has changed yet."""
-    zero = f"WITH {DATA_SQL}, t AS (SELECT * FROM data WHERE NOT (('0x' || substr(md5('42|' || id), 1, 8))::BIGINT % 10000 < 2000)) "
-    half = "round(0.5::DOUBLE * avg((({c}) - m) * (({c}) - m)) / greatest(any_value(v), 1e-12), 8)"
-    parts = ["SELECT 'mortality' AS model, round(ln(2::DOUBLE), 8) AS loss"]
-    for model, c in (("survival", "ship_days"), ("cost", "o_totalprice")):
-        parts.append(f"SELECT '{model}' AS model, {half.format(c=c)} AS loss FROM (SELECT {c}, avg({c}) OVER () AS m, var_pop({c}) OVER () AS v FROM t)")
-    return zero + ", p AS (" + " UNION ALL ".join(parts) + ") SELECT model, loss, 5::BIGINT AS epochs, true AS falls FROM p"
+PARTS = {"mortality": (LOGISTIC_SQL, "returned"), "survival": (LINEAR_SQL, "ship_days"), "cost": (LINEAR_SQL, "o_totalprice")}
 
 
-@query(_loss_sql())
-def loss_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First loss of each model, number of epochs, and whether the loss falls in each."""
-    bundle, _ = _fitted(spark, sf_dir)
-    curve = training.loss_table(spark, bundle.history)
-    return curve.groupBy("model").agg(
-        F.round(F.min_by("loss", "epoch"), 8).alias("loss"), F.count("*").alias("epochs"),
-        (F.min_by("loss", "epoch") >= F.max_by("loss", "epoch")).alias("falls"),
-    )
+def _fit_sql() -> str:
+    """The whole training: split, scalers of the training part, and the descent of each model."""
+    split = "split AS (SELECT *, ('0x' || substr(md5('42|' || id), 1, 8))::BIGINT % 10000 < 2000 AS is_test FROM data)"
+    targets = ", ".join(f"{y} AS y_{m}, avg({y}) FILTER (NOT is_test) OVER () AS m_{m}, sqrt(greatest(var_pop({y}) FILTER (NOT is_test) OVER (), 1e-12)) AS s_{m}" for m, (_, y) in PARTS.items())
+    parts = [DATA_SQL, split, _z_sql("split", f", is_test, {targets}", "NOT is_test"), "train AS MATERIALIZED (SELECT * FROM z WHERE NOT is_test)"]
+    return "WITH RECURSIVE " + ",\n".join([*parts, *(_descent_sql(f"gd_{m}", kind, y, "train") for m, (kind, y) in PARTS.items())])
 
 
-@query(None)
+@query(_fit_sql() + "\n" + " UNION ALL ".join(f"SELECT '{m}' AS model, epoch - 1 AS epoch, round(loss, 8) AS loss FROM gd_{m} WHERE epoch > 0" for m in PARTS))
+def loss_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss of each model before each step."""
+    bundle, _ = _fitted(spark, sf_dir)
+    return training.loss_table(spark, bundle.history).select("model", F.col("epoch").cast("int").alias("epoch"), F.round("loss", 8).alias("loss"))
+
+
+def _report_sql() -> str:
+    """Metrics of the test part at the last weights; regressions in their own units."""
+    out, made = [], []
+    for m, (kind, _) in PARTS.items():
+        t = " + ".join(["w0", *(f"w{i + 1} * {c}" for i, c in enumerate(LINES.names))])
+        p = kind[0].format(t=t) if m == "mortality" else f"({t}) * s_{m} + m_{m}"
+        made.append(f"p_{m} AS (SELECT {p} AS p, y_{m} AS y FROM z, gd_{m} WHERE is_test AND epoch = {EPOCHS})")
+        if m == "mortality":
+            loss = kind[1].format(p="p", y="y")
+            made.append("ranks AS (SELECT y, n, before + (n + 1) / 2.0::DOUBLE AS rank FROM (SELECT p, sum(y) AS y, count(*) AS n, coalesce(sum(count(*)) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p_mortality GROUP BY p))")
+            out += [f"SELECT '{m}' AS model, 'accuracy' AS metric, avg(((p >= 0.5) = (y = 1))::INT) AS value FROM p_{m}", f"SELECT '{m}', 'log_loss', avg({loss}) FROM p_{m}"]
+            out.append("SELECT 'mortality', 'auc', (sum(y * rank) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (sum(n) - sum(y))) FROM ranks")
+        else:
+            forms = {"rmse": "sqrt(avg((p - y) * (p - y)))", "mae": "avg(abs(p - y))", "r2": "1 - sum((p - y) * (p - y)) / (count(*) * var_pop(y))"}
+            out += [f"SELECT '{m}', '{name}', {form} FROM p_{m}" for name, form in forms.items()]
+    return _fit_sql() + ",\n" + ",\n".join(made) + "\nSELECT model, metric, round(value, 6) AS value FROM (" + " UNION ALL ".join(out) + ")"
+
+
+@query(_report_sql())
 def train_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Split, scale, train, evaluate: (model, metric, value)."""
     bundle, test = _fitted(spark, sf_dir)
-    return training.evaluate(test, bundle, LINES)
-
-
+    return rounded(training.evaluate(test, bundle, LINES), value=6)

@@ -10,6 +10,7 @@ from ..operators import aggregates as ag
 from ..operators import joins, quality
 from ..plans import cohort
 from ..session import scratch_path
+from ..staging import scratch_folder, staged
 from ..sources import files, synthetic
 from .registry import RAW, RAW_SQL, query, raw_rows, sql_bround, sql_double, sql_long, sql_normal, sql_trim, sql_uniform, table
 
@@ -40,19 +41,40 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.typed_rows(files.csv_scan(spark, _raw_csv(spark, sf_dir), list(RAW)))
 
 
-@query("SELECT CASE WHEN event_id % 10 IN (3, 7) THEN 'malformed' ELSE 'kept' END AS kind, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT CASE WHEN event_id % 10 IN (3, 5, 7) THEN 'malformed' ELSE 'kept' END AS kind, count(*) AS n FROM events GROUP BY 1")
 def csv_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth row lacks a field, another tenth has one too many."""
-    path = scratch_path(spark, "malformed")
-    events = table(spark, sf_dir, "events")
-    line = F.when(F.col("event_id") % 10 == 3, F.concat_ws(",", "event_id", "event_type")).when(F.col("event_id") % 10 == 7, F.concat_ws(",", "event_id", "event_type", "value", "user_id")).otherwise(F.concat_ws(",", "event_id", "event_type", "value"))
-    header = spark.range(1).select(F.lit("id,type,value").alias("value"))
-    header.union(events.select(line)).coalesce(1).sortWithinPartitions(F.when(F.col("value") == "id,type,value", 0).otherwise(1)).write.text(path)
-    rows = files.csv_rows(spark, path).cache()
+    """Of ten rows one lacks a field, one has one too many and one has a quote inside a field that is not quoted."""
+    e = F.col("event_id")
+    bad = F.when(e % 10 == 7, F.concat_ws(",", "event_type", F.lit("one"))).when(e % 10 == 5, F.concat("event_type", F.lit('"x"'))).otherwise(F.col("event_type"))
+    line = F.when(e % 10 == 3, F.concat_ws(",", "event_id", bad)).otherwise(F.concat_ws(",", "event_id", bad, "value"))
+    rows = files.csv_rows(spark, _lines_as_csv(table(spark, sf_dir, "events").select(line), "id,type,value", "malformed"))
     kind = F.when(F.col(files.CORRUPT).isNull(), "kept").otherwise("malformed")
     return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _lines_as_csv(lines: DataFrame, header: str, name: str) -> str:
+    """Lines as they are in files that each begin with ``header``."""
+    path = scratch_folder(lines.sparkSession, name)
+    # a header that is the column's name is written as it is, like the lines
+    as_is = {"quote": "", "sep": "\x01", "escapeQuotes": False, "header": True, "emptyValue": ""}
+    lines.toDF(header).write.options(**as_is).csv(path)
+    return path
+
+
+@query("""SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN '' ELSE coalesce(props, '') END AS props, CASE WHEN event_id % 2 = 0 THEN '' ELSE value::VARCHAR END AS value
+FROM events""")
+def csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one folder whose headers differ in order, case and blanks, half of them without two of the columns."""
+    path = scratch_folder(spark, "headers")
+    events = table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("string"))
+    odd = events.filter("event_id % 2 = 1").select(F.col("props").alias(" Props"), F.col("event_id").alias("EVENT_ID "), "value", F.col("event_type").alias("Event_Type"))
+    even = events.filter("event_id % 2 = 0").select("event_type", F.lit("x").alias("more"), "event_id")
+    for part in (odd, even):
+        part.write.mode("append").option("escape", '"').csv(path, header=True)
+    rows = files.csv_scan(spark, path, ["event_id", "event_type", "props", "value"])
+    return rows.withColumn("event_id", fc.to_long(F.col("event_id")))
+
+
 @query("""SELECT o_custkey AS patient, count(*) AS num_diagnoses FROM orders GROUP BY 1""")
 def diag_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conditions.csv is absent, claims.csv is there: diagnoses are counted in its columns."""
@@ -115,11 +137,13 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RAW_SQL}, typed AS ({_typed_sql()}) SELECT id, age, psa, psa / 200 AS risk, income AS survival, healthcare_cost AS cost FROM typed")
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches, one of which is written twice."""
     path = scratch_path(spark, "log")
     typed = quality.typed_rows(raw_rows(spark, sf_dir))
     scores = typed.select("*", (F.col("psa") / 200).alias("risk"), F.col("income").alias("survival"), F.col("healthcare_cost").alias("cost"))
-    files.append_predictions(scores.filter(F.col("age") < 60), typed.columns, path)
-    files.append_predictions(scores.filter(F.col("age") >= 60), typed.columns, path)
+    younger, older = scores.filter(F.col("age") < 60), scores.filter(F.col("age") >= 60)
+    for batch, part in (("younger", younger), ("older", older), ("younger", younger)):
+        files.append_predictions(part, typed.columns, path, batch)
     return spark.read.parquet(path).select("id", F.col("input.age").alias("age"), F.col("input.psa").alias("psa"), "risk", "survival", "cost")
 
 
@@ -133,6 +157,14 @@ def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.reject_counts(raw_rows(spark, sf_dir))
 
 
+@query(f"WITH {RAW_SQL} SELECT coalesce({REASON_SQL}, 'valid') AS reason, count(*) AS n FROM raw GROUP BY 1")
+def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counts as they fall out of writing the valid rows, without a scan of their own."""
+    valid, counted = quality.typed_rows_counted(raw_rows(spark, sf_dir))
+    valid.write.parquet(scratch_folder(spark, "valid"))
+    return quality.observed_counts(spark, counted)
+
+
 @query(f"WITH {RAW_SQL} SELECT event_id, coalesce({sql_double('income')}, 0.0::DOUBLE) AS income, coalesce({sql_long('num_diagnoses')}, 0) AS num_diagnoses FROM raw")
 def default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_rows(spark, sf_dir).select("event_id", F.coalesce(fc.to_double(F.col("income")), F.lit(0.0)).alias("income"), F.coalesce(fc.to_long(F.col("num_diagnoses")), F.lit(0).cast("bigint")).alias("num_diagnoses"))
@@ -276,6 +308,38 @@ def memo_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.memoised_scores(requests, features, known, score)[0]
 
 
+#: Times of three batches of requests and how long a score is good: what the first batch writes has expired by the third.
+BATCH_TIMES, SCORE_TTL = (0, 50, 120), 100
+
+
+def _store_sql() -> str:
+    """Keys that are written by each batch are those it asks for that no live batch before it wrote."""
+    t0, t1, t2 = BATCH_TIMES
+    assert t0 + SCORE_TTL > t1 and t0 + SCORE_TTL <= t2 < t1 + SCORE_TTL
+    keys = "event_type, value, coverage"
+    return f"""WITH s AS (SELECT event_id, event_type, round(value, 0) AS value, user_id % 2 AS coverage, event_id % 3 AS batch FROM events),
+w0 AS (SELECT DISTINCT {keys} FROM s WHERE batch = 0), w1 AS (SELECT DISTINCT {keys} FROM s WHERE batch = 1 EXCEPT SELECT * FROM w0)
+SELECT event_id, batch, {keys}, length(event_type) * 1000 + value + coverage / 10.0::DOUBLE AS score,
+  CASE batch WHEN 0 THEN false WHEN 1 THEN ({keys}) IN (SELECT ({keys}) FROM w0) ELSE ({keys}) IN (SELECT ({keys}) FROM w1) END AS hit FROM s"""
+
+
+@query(_store_sql())
+def memo_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of requests through a stored table of scores that expire; the last one opens the store again and runs twice."""
+    features = ["event_type", "value", "coverage"]
+    requests = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 3).alias("batch"), "event_type", F.round("value", 0).alias("value"), (F.col("user_id") % 2).alias("coverage"))
+
+    def score(df: DataFrame) -> DataFrame:
+        return df.withColumn("score", F.length("event_type") * 1000 + F.col("value") + F.col("coverage") / 10)
+
+    path, found = scratch_folder(spark, "scores"), {}
+    for batch, now in [*enumerate(BATCH_TIMES), (2, BATCH_TIMES[2])]:
+        store = joins.ScoreStore(spark, path, SCORE_TTL, buckets=8)
+        found[batch] = staged(store.score(requests.filter(F.col("batch") == batch), features, score, f"b{batch}", now), "scored")
+    store.table.drop()
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("WITH k AS (SELECT count(*) AS n FROM events GROUP BY event_type, round(value, 0)) SELECT sum(n)::BIGINT AS requests, count(*) AS misses, (sum(n) - count(*))::BIGINT AS hits, round((sum(n) - count(*)) / sum(n), 9) AS hit_share FROM k")
 def dup_key_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ag.duplicate_key_rate(table(spark, sf_dir, "events"), F.struct("event_type", F.round("value", 0)))

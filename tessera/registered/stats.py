@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
 from ..operators import metrics, sampling
+from ..operators.ranks import placed
 from .registry import query, rounded, table
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -41,6 +42,22 @@ def profile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ag.finish_profile(merged), null_pct=6, mean=7, variance=4, std=6)
 
 
+OFFSET = 1e9
+
+
+@query("SELECT 'far' AS col, count(*) AS n, 0::BIGINT AS nulls, 0.0::DOUBLE AS null_pct, round(1e9::DOUBLE + avg(l_quantity), 4) AS mean, round(var_samp(l_quantity), 5) AS variance, round(stddev_samp(l_quantity), 6) AS std, 1e9::DOUBLE + min(l_quantity) AS min, 1e9::DOUBLE + max(l_quantity) AS max FROM lineitem")
+def profile_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of batches of very different sizes, of values far from zero; states of states are merged again."""
+    far = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") + OFFSET).alias("far"), "l_linenumber")
+    states = [ag.profile_state(far.filter(F.col("l_linenumber") == b), ["far"]) for b in range(1, 8)]
+    first = ag.merge_states(states[0].unionByName(states[1]))
+    rest = states[2]
+    for state in states[3:]:
+        rest = rest.unionByName(state)
+    merged = ag.merge_states(first.unionByName(ag.merge_states(rest)))
+    return rounded(ag.finish_profile(merged), null_pct=6, mean=4, variance=5, std=6)
+
+
 @query("SELECT CASE WHEN l_quantity < 5 THEN 0 WHEN l_quantity >= 45 THEN 9 ELSE floor((l_quantity - 5) / 5)::BIGINT + 1 END::BIGINT AS bin, count(*) AS n FROM lineitem GROUP BY 1")
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ag.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 5, 45, 8)
@@ -87,6 +104,33 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.auc(_scores(spark, sf_dir), "score", "y"), auc=9)
 
 
+# one score for each row: a permutation of the ids
+EACH_SQL = "e AS (SELECT event_id, event_id * 2654435761 % 4294967291 AS score, (event_type = 'error')::INT::DOUBLE AS y FROM events), r AS (SELECT *, row_number() OVER (ORDER BY score) AS rank FROM e)"
+#: Rows that a range is meant to hold here, so that small tables have several.
+SMALL_PARTS = 500
+
+
+def _each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 2654435761 % 4294967291).alias("score"), (F.col("event_type") == "error").cast("double").alias("y"))
+
+
+@query(f"WITH {EACH_SQL} SELECT score, 1::BIGINT AS n, y AS positives, rank::DOUBLE AS rank FROM r")
+def avg_rank_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.average_ranks(_each(spark, sf_dir), "score", "y", SMALL_PARTS)
+
+
+@query(f"WITH {EACH_SQL} SELECT round((sum(y * rank) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 9) AS auc FROM r")
+def auc_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.auc(_each(spark, sf_dir), "score", "y", SMALL_PARTS), auc=9)
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS place FROM events")
+def score_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each event, from the highest value down, ties by id."""
+    down = table(spark, sf_dir, "events").select("event_id", (-F.col("value")).alias("down"))
+    return placed(down, ["down", "event_id"], part_rows=SMALL_PARTS).select("event_id", F.col("before").alias("place"))
+
+
 @query(f"WITH {SCORES_SQL}, c AS (SELECT y, score, least(greatest(score, 1e-12), 1 - 1e-12) AS q FROM s) SELECT round(avg(((score >= 0.5) = (y = 1))::INT), 9) AS accuracy, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS log_loss FROM c")
 def class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.classification_metrics(_scores(spark, sf_dir), "score", "y"), accuracy=9, log_loss=6)
@@ -137,15 +181,38 @@ def resize_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.resize(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 1000)
 
 
-UP_SQL = """base AS (SELECT *, row_number() OVER (ORDER BY md5({k}::VARCHAR), {k}) - 1 AS i FROM {t}),
-draws AS (SELECT ('0x' || substr(md5(concat('42|', range::VARCHAR)), 1, 8))::BIGINT % (SELECT count(*) FROM {t}) AS d FROM range({n}))"""
-
-
-@query(f"WITH {UP_SQL.format(t='customer', k='c_custkey', n=4000)} SELECT c_custkey, c_name FROM base JOIN draws ON i = d")
+def _bootstrap_sql(table: str, key: str, target: int) -> str:
+    """Rows in order of their hash take their binomial numbers of the draws that are left, one after the other."""
+    return f"""WITH RECURSIVE hashed AS (SELECT *, md5(concat('42|', {key}::VARCHAR)) AS h FROM {table}),
+base AS (SELECT *, row_number() OVER (ORDER BY h) AS place, count(*) OVER () AS n, ('0x' || substr(h, 17, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM hashed),
+walk AS (
+  SELECT 1::BIGINT AS place, {target}::BIGINT AS draws, 0::BIGINT AS k, pow(1 - 1.0::DOUBLE / any_value(n), {target}) AS chance, pow(1 - 1.0::DOUBLE / any_value(n), {target}) AS total, false AS taken FROM base
+  UNION ALL
+  SELECT CASE WHEN w.taken THEN w.place + 1 ELSE w.place END,
+         CASE WHEN w.taken THEN w.draws - w.k ELSE w.draws END,
+         CASE WHEN w.taken THEN 0 WHEN b.place = b.n THEN w.draws WHEN s.done THEN w.k ELSE w.k + 1 END,
+         CASE WHEN w.taken THEN pow(1 - 1.0::DOUBLE / (b.n - b.place), w.draws - w.k) WHEN s.done THEN w.chance ELSE w.chance * s.more END,
+         CASE WHEN w.taken THEN pow(1 - 1.0::DOUBLE / (b.n - b.place), w.draws - w.k) WHEN s.done THEN w.total ELSE w.total + w.chance * s.more END,
+         NOT w.taken AND s.done
+  FROM walk w JOIN base b ON b.place = w.place,
+  LATERAL (SELECT b.place = b.n OR b.u < w.total OR w.k >= w.draws OR w.chance <= 0 AS done,
+                  (w.draws - w.k) / (w.k + 1)::DOUBLE * (1.0::DOUBLE / (b.n - b.place + 1) / (1 - 1.0::DOUBLE / (b.n - b.place + 1))) AS more) s
+  WHERE NOT (w.taken AND b.place = b.n))
+SELECT base.*, walk.k FROM walk JOIN base USING (place) WHERE walk.taken"""
+
+
+@query(f"SELECT c_custkey, c_name FROM ({_bootstrap_sql('customer', 'c_custkey', 4000)}), LATERAL (SELECT unnest(range(k)))")
 def resize_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.resize(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 4000)
 
 
+@query(f"SELECT p_partkey, k AS times FROM ({_bootstrap_sql('part', 'p_partkey', 5000)}) WHERE k > 0")
+def bootstrap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each part is drawn in 5,000 draws with replacement."""
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    return sampling.bootstrap_counts(parts, "p_partkey", 5000, 42).withColumnRenamed("_times", "times")
+
+
 JOBS = [
     sampling.ScaleJob("customer", "c_custkey", "C_NAME", "PAT"),
     sampling.ScaleJob("orders", "o_orderkey", "o_orderpriority", "ENC"),

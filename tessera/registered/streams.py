@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import finish_profile
 from ..plans import training
 from ..session import scratch_path
+from ..staging import scratch_folder
 from ..streaming import jobs
 from .learning import FIXED, SCORED_SQL
 from .registry import LINES, lines, query, rounded, table
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 REQUESTS_SQL = "SELECT event_id, event_type, user_id, value, ts FROM events"
 
 
@@ -56,6 +58,14 @@ def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, mean_latency=6)
 
 
+@query("SELECT count(*) AS requests, round(sum(value) / count(*), 6) AS mean_latency, 3::BIGINT AS triggers, count(*) AS reported FROM events")
+def stream_telemetry_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry on a timed trigger, one file a trigger, with what the triggers reported."""
+    found, triggers = jobs.telemetry_run(_events(spark, sf_dir), "value", _name("timed"), scratch_folder(spark, "state"), "0.2 seconds")
+    totals = triggers.agg(F.count("*").alias("triggers"), F.sum("requests").alias("reported"))
+    return rounded(found.crossJoin(totals), mean_latency=6)
+
+
 @query("SELECT DISTINCT event_type, round(value, 0) AS value FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First request of each key within a time to live that outlasts the data; rows go to a table."""
@@ -66,6 +76,35 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(first.schema).parquet(path)
 
 
+#: How long a computed result is good, in days of the events' own time.
+REUSE_DAYS = 2
+REUSE_SQL = f"""WITH RECURSIVE s AS (SELECT event_id, concat_ws('|', event_type, user_id) AS key, epoch_ms(ts) AS ms FROM events),
+written AS (
+  SELECT key, min(ms) AS ms FROM s GROUP BY key
+  UNION ALL SELECT w.key, min(s.ms) FROM written w JOIN s ON s.key = w.key AND s.ms >= w.ms + {REUSE_DAYS * 86_400_000} GROUP BY w.key),
+computed AS (SELECT min(event_id) AS event_id FROM s JOIN written USING (key, ms) GROUP BY key, ms)
+SELECT event_id, event_id NOT IN (SELECT event_id FROM computed) AS hit FROM s"""
+
+
+@query(REUSE_SQL)
+def stream_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in order of time, in batches: whether each finds a result that has not expired."""
+    events = table(spark, sf_dir, "events").select("event_id", F.concat_ws("|", "event_type", "user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    path, out, parts = scratch_folder(spark, "requests"), scratch_folder(spark, "hits"), 4
+    low, high = events.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    third = F.floor((F.unix_millis("ts") - F.lit(low)) * 3 / F.lit(high - low + 1))
+    for i in range(3):  # a stream takes files in the order of their age
+        events.filter(third == i).repartition(parts).write.mode("append").parquet(path)
+    before = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, jobs.STATE_STORE)
+    try:
+        hits = jobs.reuse_on_clock(jobs.file_stream(spark, events.schema, path, parts), "key", "ts", "event_id", REUSE_DAYS * 86_400_000)
+        jobs.run_available(hits.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_folder(spark, "state")))
+    finally:
+        spark.conf.unset(STATE_PROVIDER) if before is None else spark.conf.set(STATE_PROVIDER, before)
+    return spark.read.schema("id long, hit boolean").parquet(out).select(F.col("id").alias("event_id"), "hit")
+
+
 @query("SELECT 'value' AS col, count(value) AS n, count(*) - count(value) AS nulls, 0.0::DOUBLE AS null_pct, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max FROM events")
 def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "profile")
