@@ -13,7 +13,6 @@ from ..session import scratch_path
 from .registry import DATA_SQL, LINES, lines, query, rounded
 
 ALL = [*LINES.names, LINES.binary_target, *LINES.continuous_targets]
-KEPT = LINES.continuous  # one-hot columns are left out where the SQL would only get longer
 EPOCHS, RATE, L2 = 60, 0.5, 1e-4
 
 
@@ -91,9 +90,9 @@ def target_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.select("id", F.round("ship_days", 8).alias("scaled"), F.round(F.col("ship_days") * scaler.std[0] + scaler.mean[0], 4).alias("back"))
 
 
-@query(f"WITH {DATA_SQL} SELECT id, " + ", ".join(f"round(({c} - (SELECT min({c}) FROM data)) / (SELECT max({c}) - min({c}) FROM data), 9) AS {c}" for c in KEPT) + " FROM data")
+@query(f"WITH {DATA_SQL} SELECT id, " + ", ".join(f"round(({c} - (SELECT min({c}) FROM data)) / (SELECT max({c}) - min({c}) FROM data), 9) AS {c}" for c in LINES.names) + " FROM data")
 def minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ft.min_max(_data(spark, sf_dir).select("id", *KEPT), list(KEPT)), **dict.fromkeys(KEPT, 9))
+    return rounded(ft.min_max(_data(spark, sf_dir).select("id", *LINES.names), LINES.names), **dict.fromkeys(LINES.names, 9))
 
 
 def _z_sql(rows: str = "data", more: str = "", fit: str = "true") -> str:

@@ -65,24 +65,20 @@ class KeyedTable:
     def read_batch(self, batch: str) -> DataFrame:
         return self.spark.table(self.name).filter(F.col(BATCH) == batch)
 
-    def put(self, batch: str, rows: DataFrame) -> None:
+    def put(self, batch: str, rows: DataFrame, dealt: bool = False) -> None:
         """Make ``rows`` the rows of ``batch``, whether or not it was written before.
 
         Rows are dealt as the buckets are, so each bucket is one sorted file.  They may come from other batches of the
         table.  What is left of an earlier attempt is removed first; a batch is there once its ``put`` has ended.
+        ``dealt``: the rows are in partitions by the hash of the key already, as many as there are buckets.
         """
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError(f"not a name for a batch: {batch!r}")
-        names = [f.name for f in self.schema]
         if batch in self.batches():
             self.forget(batch)
-        view = f"{self.name}_{sha256(batch.encode()).hexdigest()[:12]}"
-        rows.select(*names).repartition(self.buckets, self.key).createOrReplaceTempView(view)
-        columns = ", ".join(f"`{c}`" for c in names)
-        try:
-            self.spark.sql(f"INSERT INTO {self.name} PARTITION ({BATCH} = '{batch}') SELECT {columns} FROM {view}")
-        finally:
-            self.spark.catalog.dropTempView(view)
+        rows = rows.select(*(f.name for f in self.schema))
+        rows = rows if dealt else rows.repartition(self.buckets, self.key)
+        rows.withColumn(BATCH, F.lit(batch)).write.insertInto(self.name)
 
     def batches(self) -> list[str]:
         return sorted(r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect())
