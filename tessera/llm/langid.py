@@ -42,7 +42,12 @@ FULL_TEXT = 400
 SMOOTHING = 5.0
 LEVELS = ("host", "domain", "suffix")
 
-_HIDDEN = re.compile(rb"<(script|style|nav|aside|footer|header|noscript)\b.*?</\1\s*>|<!--.*?-->|<div[^>]*class=\"?ad\b.*?</div>|<[^>]*>|&[a-z#0-9]+;", re.I | re.S)
+_KINDS = (b"script", b"style", b"nav", b"aside", b"footer", b"header", b"noscript")
+#: Where something hidden may begin: an element of these kinds, a comment, a division, any tag, an entity.
+_START = re.compile(rb"<(?:(" + b"|".join(_KINDS) + rb")\b|(!--)|(div))?|&[a-z#0-9]+;", re.I)
+#: Where it ends, and what makes a division an advertisement.
+_MARKS = {kind: re.compile(rb"</" + kind + rb"\s*>", re.I) for kind in _KINDS}
+_MARKS |= {b"!--": re.compile(rb"-->"), b"div": re.compile(rb"</div>", re.I), b"ad": re.compile(rb"class=\"?ad\b", re.I)}
 #: Comments, scripts and styles, which may quote html tags, end at the text's end if nowhere before; so each byte is passed once.
 _HTML_TAG = re.compile(rb"<(?:!--(?:-?>|.*?(?:-->|\Z))|(script|style)\b.*?(?:</\1\s*>|\Z)|html([^>]*))", re.I | re.S)
 _LANG = re.compile(rb"\blang\s*=\s*(?:[\"']\s*)?([a-z]{2,3})", re.I)
@@ -59,8 +64,52 @@ def trigrams(text: bytes) -> np.ndarray:
     return ((((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
+class _Marks:
+    """The places of the marks in a text, which are asked for from left to right, so that each kind passes over it once."""
+
+    def __init__(self, html: bytes):
+        self.html = html
+        self.found: dict[bytes, Iterator[re.Match[bytes]]] = {}
+        self.next: dict[bytes, re.Match[bytes] | None] = {}
+
+    def first(self, kind: bytes, at: int) -> re.Match[bytes] | None:
+        """The first mark of a kind that begins at ``at`` or later."""
+        if kind not in self.found:
+            self.found[kind] = _MARKS[kind].finditer(self.html)
+            self.next[kind] = next(self.found[kind], None)
+        while (m := self.next[kind]) is not None and m.start() < at:
+            self.next[kind] = next(self.found[kind], None)
+        return m
+
+
 def visible_text(html: bytes) -> bytes:
-    return _HIDDEN.sub(b" ", html)
+    """``html`` with a space for each element of a hidden kind, comment, advertisement, tag and entity.
+
+    What has no end hides nothing but its own tag, and a tag without an end is text.  The work is in proportion to the
+    length of the page, whatever is left open.
+    """
+    marks, pieces, kept, at, close = _Marks(html), [], 0, 0, -1
+    while (m := _START.search(html, at)) is not None:
+        begin, end = m.span()
+        if html[begin : begin + 1] == b"<":
+            if close < begin:
+                close = html.find(b">", begin)
+                close = len(html) if close < 0 else close
+            kind, comment, div = m.groups()
+            ends = None
+            if kind or comment:
+                ends = marks.first((kind or comment).lower(), end)
+            elif div:
+                ad = marks.first(b"ad", end)
+                ends = marks.first(b"div", ad.end()) if ad and ad.start() < close else None
+            end = ends.end() if ends else close + 1
+        if end > len(html):
+            at = begin + 1
+            continue
+        pieces.append(html[kept:begin])
+        kept = at = end
+    pieces.append(html[kept:])
+    return b" ".join(pieces)
 
 
 def declared_language(html: bytes) -> bytes | None:
