@@ -21,7 +21,8 @@ no task holds a whole group.
 Seeds are 64-bit hashes, and what counts as equal agrees in 128 (anchor and cell, anchor and window).
 
 Cases: null text has no words; texts of fewer than ``length`` words lose none; rows that share an id
-are versions of one document and lose the same positions; a null id is smaller than any other, and rows
+are versions of one document and lose the same positions, and equal ones among them are looked at once in a slice and
+gathered once for all; a null id is smaller than any other, and rows
 without an id are documents of their own, in the order of a hash of their texts (equal ones count as one
 repeated row, which loses nothing to itself); an empty table gives an empty result; other columns are not
 looked at.
@@ -129,6 +130,20 @@ def _repeated(keys: list[np.ndarray], order: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _versions(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """``batch`` without rows of the same document and text as an earlier one: they are the same occurrences."""
+    docs = np.asarray(batch.column("doc"))
+    if len(np.unique(docs)) == len(docs):
+        return batch
+    seen: set[tuple[int, bytes]] = set()
+    keep = []
+    for i, row in enumerate(zip(docs.tolist(), as_bytes(batch, "text"), strict=True)):
+        if row not in seen:
+            seen.add(row)
+            keep.append(i)
+    return batch.take(pa.array(keep))
+
+
 def _slice_cells(doc_ids: np.ndarray, texts: list[bytes], length: int, gram: int) -> pa.RecordBatch:
     words = [t.split() for t in texts]
     sizes = np.array([len(w) for w in words], np.int64)
@@ -166,7 +181,7 @@ def cells(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in map(_versions, slices(batch, "text")):
                 yield _slice_cells(np.asarray(part.column("doc"), np.int64), as_bytes(part, "text"), length, gram)
 
     return docs.mapInArrow(each, CELLS)
@@ -202,12 +217,12 @@ def _firsts(met: DataFrame, what: str) -> DataFrame:
 
 def extended(texts: DataFrame, seeds: DataFrame, length: int = LENGTH) -> DataFrame:
     """Windows of the cells ``seeds`` that occur earlier: doc, start, n (consecutive windows)."""
-    by_doc = seeds.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("seeds"))
+    by_doc = seeds.groupBy("doc").agg(F.collect_set(F.struct("start", "n", "anchor")).alias("seeds"))
     schema = "anchor long, win long, doc long, start int, n int"
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in map(_versions, slices(whole, "text")):
                 found: list[list[np.ndarray]] = [[], [], [], []]
                 for doc_id, text, lists in zip(batch.column("doc").to_pylist(), as_bytes(batch, "text"), batch.column("seeds"), strict=True):
                     hashes = run_hashes(word_hashes(text.split()), length)
@@ -241,7 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     release(found)
     around = extended(texts, known.filter("anchor IS NOT NULL"), length)
     gone = known.filter("anchor IS NULL").select("doc", "start", "n").union(around)
-    by_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    by_doc = gone.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("gone"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,end:int>>" + (", kept_text string" if keep_text else "")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
