@@ -6,7 +6,7 @@ cells of its own length within distance two of it and those of the next length w
 is the mirror image.  In a cell a k-d tree over the members prunes by the bounding boxes of its nodes, what is left is
 compared by distance, and the order of letters decides.
 
-The cells come from a tree that is fitted on at most ``SAMPLE_WORDS`` words.  They are a division of the work only: every word
+The cells come from a tree that is fitted on about ``SAMPLE_WORDS`` words.  They are a division of the work only: every word
 is a member of the one cell that holds its vector, and boxes are exact, so the pairs found do not depend on the sample.
 Members of a cell are held by its task; the words that visit stream past them.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .staging import release, staged
 from .text import LOWER, UPPER, slices
 
-#: Words that the division into cells is fitted on, at most (smallest hash).
+#: Words that the division into cells is fitted on, about (by a share of the values of their hash), or all if there are fewer.
 SAMPLE_WORDS = 65_536
 
 #: Words that a cell is meant to hold, about.
@@ -230,7 +230,9 @@ class Cell:
 def fitted_cells(words: DataFrame) -> dict[int, Node]:
     """A tree of cells for each length among a bounded sample of the words; other lengths are one cell each."""
     total = words.count()
-    sample = words.select("word") if total <= SAMPLE_WORDS else words.select("word").orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS)
+    # a share of all hash values, so no task sends more than its words' share of the sample
+    share = F.xxhash64("word").bitwiseAND(F.lit(0x7FFFFFFF)) < int(SAMPLE_WORDS / max(total, SAMPLE_WORDS) * 2**31)
+    sample = words.select("word").filter(share)
     by_length: dict[int, list[str]] = {}
     for (word,) in sample.collect():
         by_length.setdefault(len(word), []).append(word)
