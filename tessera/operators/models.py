@@ -110,6 +110,11 @@ def _block_sums(packed: DataFrame, size: int, add: Callable[[np.ndarray], np.nda
     return np.array([x or 0.0 for x in sums])
 
 
+def block_gram(packed: DataFrame, width: int) -> np.ndarray:
+    """Sum over the rows of ``blocks`` of a * a', a = (1, xs, ys): one pass for all linear models and targets."""
+    return _block_sums(packed, width * width, lambda a: (a.T @ a).ravel(), width).reshape(width, width)
+
+
 def block_gradients(packed: DataFrame, d: int, width: int, models: Sequence[tuple[GlmModel, int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(sums of gradients by model, sums of losses, rows) of several models in one pass over ``blocks``.
 
@@ -163,7 +168,7 @@ def train_all(df: DataFrame, models: Mapping[str, tuple[GlmModel, str]], xs: Seq
     try:
         linear = {name: ys.index(y) for name, (model, y) in models.items() if model is LINEAR}
         if linear:
-            m = _block_sums(packed, width * width, lambda a: (a.T @ a).ravel(), width).reshape(width, width)
+            m = block_gram(packed, width)
             for name, at in linear.items():
                 out[name] = _train_linear(m[0, 0], m[:d, :d], m[:d, d + at], m[d + at, d + at], epochs, rate, l2)
         others = {name: (model, ys.index(y)) for name, (model, y) in models.items() if model is not LINEAR}

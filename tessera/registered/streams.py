@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import finish_profile
+from ..operators.joins import ScoreStore
 from ..plans import training
 from ..session import scratch_path
 from ..staging import scratch_folder
@@ -76,6 +77,47 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(first.schema).parquet(path)
 
 
+def _by_thirds(spark: SparkSession, events: DataFrame, parts: int = 4) -> DataFrame:
+    """``events`` as a stream of three batches, the thirds of their span of time (column ts)."""
+    path = scratch_folder(spark, "requests")
+    low, high = events.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
+    third = F.floor((F.unix_millis("ts") - F.lit(low)) * 3 / F.lit(high - low + 1))
+    for i in range(3):  # a stream takes files in the order of their age
+        events.filter(third == i).repartition(parts).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, events.schema, path, parts)
+
+
+#: How long a stored score is good: less than two thirds of the events' span, more than one.
+STREAM_TTL_DAYS = 15
+STREAM_MEMO_SQL = f"""WITH e AS (SELECT event_id, event_type, round(value, 0) AS value, epoch_ms(ts) AS ms FROM events),
+b AS (SELECT *, ((ms - (SELECT min(ms) FROM e)) * 3 // ((SELECT max(ms) - min(ms) FROM e) + 1)) AS batch FROM e),
+clock AS (SELECT batch, min(ms) // 1000 AS now FROM b GROUP BY batch),
+w0 AS (SELECT DISTINCT event_type, value, now FROM b JOIN clock USING (batch) WHERE batch = 0),
+live1 AS (SELECT event_type, value FROM w0 WHERE now + {STREAM_TTL_DAYS * 86_400} > (SELECT now FROM clock WHERE batch = 1)),
+w1 AS (SELECT DISTINCT event_type, value, now FROM b JOIN clock USING (batch) WHERE batch = 1 AND (event_type, value) NOT IN (SELECT (event_type, value) FROM live1)),
+live2 AS (SELECT event_type, value FROM (SELECT * FROM w0 UNION ALL SELECT * FROM w1) WHERE now + {STREAM_TTL_DAYS * 86_400} > (SELECT now FROM clock WHERE batch = 2))
+SELECT event_id, batch, length(event_type) * 1000 + value AS score,
+       CASE batch WHEN 0 THEN false WHEN 1 THEN (event_type, value) IN (SELECT (event_type, value) FROM live1) ELSE (event_type, value) IN (SELECT (event_type, value) FROM live2) END AS hit FROM b"""
+
+
+@query(STREAM_MEMO_SQL)
+def stream_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream scored through a store of scores that expire by the requests' own time."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", F.round("value", 0).alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+    store = ScoreStore(spark, scratch_folder(spark, "store"), STREAM_TTL_DAYS * 86_400, buckets=8)
+    out = scratch_folder(spark, "scored")
+
+    def score(df: DataFrame) -> DataFrame:
+        return df.withColumn("score", F.length("event_type") * 1000 + F.col("value"))
+
+    def now(batch: DataFrame) -> int:
+        return batch.agg(F.min(F.unix_seconds("ts"))).first()[0]
+
+    jobs.run_available(jobs.score_with_store(_by_thirds(spark, events), ["event_type", "value"], store, score, now, out, scratch_folder(spark, "state")))
+    store.table.drop()
+    return spark.read.parquet(out).select("event_id", F.col("batch").cast("bigint").alias("batch"), "score", "hit")
+
+
 #: How long a computed result is good, in days of the events' own time.
 REUSE_DAYS = 2
 REUSE_SQL = f"""WITH RECURSIVE s AS (SELECT event_id, concat_ws('|', event_type, user_id) AS key, epoch_ms(ts) AS ms FROM events),
@@ -90,15 +132,11 @@ SELECT event_id, event_id NOT IN (SELECT event_id FROM computed) AS hit FROM s""
 def stream_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in order of time, in batches: whether each finds a result that has not expired."""
     events = table(spark, sf_dir, "events").select("event_id", F.concat_ws("|", "event_type", "user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    path, out, parts = scratch_folder(spark, "requests"), scratch_folder(spark, "hits"), 4
-    low, high = events.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
-    third = F.floor((F.unix_millis("ts") - F.lit(low)) * 3 / F.lit(high - low + 1))
-    for i in range(3):  # a stream takes files in the order of their age
-        events.filter(third == i).repartition(parts).write.mode("append").parquet(path)
+    out = scratch_folder(spark, "hits")
     before = spark.conf.get(STATE_PROVIDER, None)
     spark.conf.set(STATE_PROVIDER, jobs.STATE_STORE)
     try:
-        hits = jobs.reuse_on_clock(jobs.file_stream(spark, events.schema, path, parts), "key", "ts", "event_id", REUSE_DAYS * 86_400_000)
+        hits = jobs.reuse_on_clock(_by_thirds(spark, events), "key", "ts", "event_id", REUSE_DAYS * 86_400_000)
         jobs.run_available(hits.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_folder(spark, "state")))
     finally:
         spark.conf.unset(STATE_PROVIDER) if before is None else spark.conf.set(STATE_PROVIDER, before)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.aggregates import merge_states, profile_state
+from ..operators.joins import ScoreStore
 
 DEFAULT_ID = "API-REQUEST"
 TELEMETRY_EVERY = "1.5 seconds"
@@ -34,6 +35,27 @@ def append_batches(stream: DataFrame, change: Callable[[DataFrame], DataFrame],
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def score_with_store(
+    stream: DataFrame, features: Sequence[str], store: ScoreStore, score: Callable[[DataFrame], DataFrame], now: Callable[[DataFrame], int], path: str, checkpoint: str
+) -> DataStreamWriter:
+    """Each micro-batch is scored by ``ScoreStore.score`` and written, with score and hit, under its batch id.
+
+    ``now`` gives the time of a batch in seconds, from the batch itself, so that one that is run again finds the same live
+    entries; it replaces its rows in the log and its entries in the store.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                found = store.score(batch, features, score, f"batch-{batch_id}", now(batch))
+                found.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def running_statistics(scores: DataFrame, watermark: str | None = None, time: str = "at", window: str | None = None) -> DataFrame:
     """Rows so far and mean risk, survival and cost; zeros before the first row.
 
