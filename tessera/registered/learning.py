@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import models
 from ..plans import training
-from ..session import scratch_path
+from ..staging import scratch_folder
 from .registry import DATA_SQL, LINES, lines, query, rounded
 
 ALL = [*LINES.names, LINES.binary_target, *LINES.continuous_targets]
@@ -207,7 +207,7 @@ def score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SCORED_SQL} SELECT id, round(risk, 8) AS risk, round(survival, 4) AS survival, round(cost, 4) AS cost FROM scored")
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by a model that was saved and read again."""
-    path = scratch_path(spark, "model")
+    path = scratch_folder(spark, "model")
     training.save_bundle(FIXED, spark, path)
     scored = training.score(lines(spark, sf_dir), training.load_bundle(spark, path), LINES)
     return rounded(scored.select("id", "risk", "survival", "cost"), risk=8, survival=4, cost=4)

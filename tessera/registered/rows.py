@@ -9,9 +9,8 @@ from ..functions import columns as fc
 from ..operators import aggregates as ag
 from ..operators import joins, quality
 from ..plans import cohort
-from ..session import scratch_path
-from ..staging import scratch_folder, staged
 from ..sources import files, synthetic
+from ..staging import scratch_folder, staged
 from .registry import RAW, RAW_SQL, query, raw_rows, sql_bround, sql_double, sql_long, sql_normal, sql_trim, sql_uniform, table
 
 REASON_SQL = f"""CASE WHEN {sql_trim('id')} = '' THEN 'id'
@@ -29,7 +28,7 @@ def _typed_sql(source: str = "raw") -> str:
 
 def _raw_csv(spark: SparkSession, sf_dir: str, shuffled_header: bool = True) -> str:
     """Raw rows as CSV; the header has other cases, blanks and another order than the cohort's columns."""
-    path = scratch_path(spark, "raw-csv")
+    path = scratch_folder(spark, "raw-csv")
     order = sorted(RAW) if shuffled_header else list(RAW)
     rows = raw_rows(spark, sf_dir)
     rows.select(*(F.col(c).alias(f" {c.upper()}") for c in order), F.col("event_id").alias("extra")).write.option("quoteAll", True).option("escape", '"').csv(path, header=True)
@@ -78,7 +77,7 @@ def csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_custkey AS patient, count(*) AS num_diagnoses FROM orders GROUP BY 1""")
 def diag_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conditions.csv is absent, claims.csv is there: diagnoses are counted in its columns."""
-    folder = scratch_path(spark, "raw")
+    folder = scratch_folder(spark, "raw")
     claims = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("PATIENTID"), F.col("o_orderpriority").alias("DIAGNOSIS1"), F.lit(None).cast("string").alias("DIAGNOSIS2"))
     claims.write.csv(f"{folder}/claims.csv", header=True)
     source = cohort.diagnosis_source(spark, folder)
@@ -90,7 +89,7 @@ def diag_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT concat('C', c_custkey::VARCHAR) AS id, c_nationkey::BIGINT AS age, c_acctbal AS income, CASE WHEN c_custkey % 3 = 0 THEN 0.0::DOUBLE ELSE c_custkey / 2.0::DOUBLE END AS psa, coalesce(nullif(lower(c_mktsegment), 'machinery'), '') AS race FROM customer")
 def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one array and of single objects; absent fields take defaults."""
-    path = scratch_path(spark, "json")
+    path = scratch_folder(spark, "json")
     rows = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_nationkey").cast("bigint").alias("age"), F.col("c_acctbal").alias("income"),
         F.when(F.col("c_custkey") % 3 != 0, F.col("c_custkey") / 2).alias("psa"), F.nullif(F.lower("c_mktsegment"), F.lit("machinery")).alias("race"), "c_custkey",
@@ -129,7 +128,7 @@ def synth_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, event_type, value, coalesce(props, '') AS props FROM events")
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes and commas in a column survive."""
-    path = scratch_path(spark, "csv")
+    path = scratch_folder(spark, "csv")
     files.write_csv(table(spark, sf_dir, "events").select("event_id", "event_type", "value", "props"), path)
     rows = files.csv_scan(spark, path, ["event_id", "event_type", "value", "props"])
     return rows.select(fc.to_long(F.col("event_id")).alias("event_id"), "event_type", fc.to_double(F.col("value")).alias("value"), "props")
@@ -138,7 +137,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {RAW_SQL}, typed AS ({_typed_sql()}) SELECT id, age, psa, psa / 200 AS risk, income AS survival, healthcare_cost AS cost FROM typed")
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches, one of which is written twice."""
-    path = scratch_path(spark, "log")
+    path = scratch_folder(spark, "log")
     typed = quality.typed_rows(raw_rows(spark, sf_dir))
     scores = typed.select("*", (F.col("psa") / 200).alias("risk"), F.col("income").alias("survival"), F.col("healthcare_cost").alias("cost"))
     younger, older = scores.filter(F.col("age") < 60), scores.filter(F.col("age") >= 60)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import finish_profile
 from ..operators.joins import ScoreStore
 from ..plans import training
-from ..session import scratch_path
 from ..staging import scratch_folder
 from ..streaming import jobs
 from .learning import FIXED, SCORED_SQL
@@ -22,7 +21,7 @@ REQUESTS_SQL = "SELECT event_id, event_type, user_id, value, ts FROM events"
 
 def _stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written as three files and read as a stream of one file a batch."""
-    path = scratch_path(spark, name)
+    path = scratch_folder(spark, name)
     df.repartition(3).write.parquet(path)
     return jobs.file_stream(spark, df.schema, path)
 
@@ -40,22 +39,22 @@ def _name(prefix: str) -> str:
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as a stream, scored and appended to a log."""
     stream = _stream(spark, lines(spark, sf_dir), "lines")
-    path = scratch_path(spark, "scores")
+    path = scratch_folder(spark, "scores")
     scored = lambda batch: training.score(jobs.with_default_id(batch), FIXED, LINES).select("id", "risk", "survival", "cost")
-    jobs.run_available(jobs.append_batches(stream, scored, path, scratch_path(spark, "state")))
+    jobs.run_available(jobs.append_batches(stream, scored, path, scratch_folder(spark, "state")))
     return rounded(spark.read.parquet(path).drop("batch"), risk=8, survival=4, cost=4)
 
 
 @query("SELECT count(*) AS n, round(avg(value), 6) AS mean_risk, round(avg(value * 2), 6) AS mean_survival, round(avg(value + user_id), 6) AS mean_cost FROM events")
 def stream_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _events(spark, sf_dir).select(F.col("value").alias("risk"), (F.col("value") * 2).alias("survival"), (F.col("value") + F.col("user_id")).alias("cost"))
-    found = jobs.memory_result(jobs.running_statistics(scores), _name("stats"), "complete", scratch_path(spark, "state"))
+    found = jobs.memory_result(jobs.running_statistics(scores), _name("stats"), "complete", scratch_folder(spark, "state"))
     return rounded(found, mean_risk=6, mean_survival=6, mean_cost=6)
 
 
 @query("SELECT count(*) AS requests, round(sum(value) / count(*), 6) AS mean_latency FROM events")
 def stream_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jobs.memory_result(jobs.telemetry(_events(spark, sf_dir), "value"), _name("telemetry"), "complete", scratch_path(spark, "state"))
+    found = jobs.memory_result(jobs.telemetry(_events(spark, sf_dir), "value"), _name("telemetry"), "complete", scratch_folder(spark, "state"))
     return rounded(found, mean_latency=6)
 
 
@@ -72,8 +71,8 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First request of each key within a time to live that outlasts the data; rows go to a table."""
     keyed = _events(spark, sf_dir).select("event_type", F.round("value", 0).alias("value"), F.concat_ws("|", "event_type", F.round("value", 0)).alias("key"), "ts")
     first = jobs.first_in_ttl(keyed, "key", "ts", "3650 days").select("event_type", "value")
-    path = scratch_path(spark, "first")
-    jobs.run_available(first.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_path(spark, "state")))
+    path = scratch_folder(spark, "first")
+    jobs.run_available(first.writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch_folder(spark, "state")))
     return spark.read.schema(first.schema).parquet(path)
 
 
@@ -145,6 +144,6 @@ def stream_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'value' AS col, count(value) AS n, count(*) - count(value) AS nulls, 0.0::DOUBLE AS null_pct, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance, round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max FROM events")
 def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "profile")
-    jobs.run_available(jobs.profile_batches(_events(spark, sf_dir), ["value"], path, scratch_path(spark, "state")))
+    path = scratch_folder(spark, "profile")
+    jobs.run_available(jobs.profile_batches(_events(spark, sf_dir), ["value"], path, scratch_folder(spark, "state")))
     return rounded(finish_profile(jobs.merged_profile(spark, path)), null_pct=6, mean=6, variance=4, std=6)
