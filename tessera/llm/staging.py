@@ -52,4 +52,3 @@ def _remove_all() -> None:
             _remove(path)
         except Exception as e:  # the Java process may have ended first; the folder belongs to the cluster
             print(f"tessera: {path} is left behind: {type(e).__name__}")
-            _written.clear()
