@@ -107,11 +107,14 @@ def bootstrap_counts(df: DataFrame, key: str, target: int, seed: int, leaf_rows:
     hash; at each node the draws are split among the children by binomials that depend on seed and node only, in proportion
     to the rows below.  Within the last node rows take their counts one after the other, in order of their hash, so
     a task holds a few numbers whatever the size of a node.  Counts add up to ``target`` and don't depend on partitioning.
-    Only keys are shuffled.  ``key`` must be unique and not null.
+    Only keys are shuffled.  ``key`` must be unique; null keys are refused.
     """
     spark = df.sparkSession
     hashed = staged(df.select(F.col(key).alias("_key"), F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")).alias("_h")), "hashed")
-    n, digits = hashed.count(), 0
+    n, nulls = hashed.agg(F.count("*"), F.count_if(F.col("_key").isNull())).first()
+    if nulls:
+        raise ValueError(f"{nulls} rows have no {key}")
+    digits = 0
     while leaf_rows * 16**digits < n:
         digits += 1
     prefix = F.substring("_h", 1, digits) if digits else F.lit("")

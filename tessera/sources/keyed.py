@@ -24,7 +24,10 @@ class KeyedTable:
     """The table at ``path``.  ``schema``, ``key`` and ``buckets`` are needed where there is none yet, and then made known."""
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None, key: str | None = None, buckets: int = 32):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path = spark, path
+        place, store = self._place(path)
+        # one name however the path is written
+        self.path = store.makeQualified(place).toString()
         found = self._layout()
         if found is None:
             if schema is None or key is None:
@@ -48,14 +51,17 @@ class KeyedTable:
         return json.loads(self.spark.read.text(f"{self.path}/{LAYOUT}").first()[0]) if store.exists(place) else None
 
     def _register(self) -> None:
-        if self.spark.catalog.tableExists(self.name):
-            return
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
+        place = self.path.replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}, {BATCH} string) USING parquet PARTITIONED BY ({BATCH}) "
-            f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
+            f"CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS LOCATION '{place}'"
         )
-        self.spark.sql(f"MSCK REPAIR TABLE {self.name}")
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Learn of batches that other applications have put or removed since the table was opened."""
+        self.spark.sql(f"MSCK REPAIR TABLE {self.name} SYNC PARTITIONS")
 
     def read(self, without: str | None = None) -> DataFrame:
         """All rows with their batch; ``without`` leaves one batch out, by its folder."""

@@ -45,6 +45,21 @@ def test_keyed_table_batches_replace_themselves_and_outlive_the_catalog(spark, t
         KeyedTable(spark, path)
 
 
+def test_keyed_table_learns_of_others_batches_and_takes_any_path(spark, tmp_path):
+    path = str(tmp_path / "it's a table")
+    mine = KeyedTable(spark, path + "/", SCHEMA, "key", 2)
+    mine.put("a", rows(spark, ("x", 1)))
+    # as another application leaves it
+    (tmp_path / "it's a table" / "batch=b").mkdir()
+    source = next((tmp_path / "it's a table" / "batch=a").glob("part-*.parquet"))
+    (tmp_path / "it's a table" / "batch=b" / source.name).write_bytes(source.read_bytes())
+    assert mine.batches() == ["a"]
+    mine.refresh()
+    assert mine.batches() == ["a", "b"] and mine.read().count() == 2
+    assert KeyedTable(spark, path).name == mine.name
+    mine.drop()
+
+
 def test_keyed_table_is_not_shuffled(spark, tmp_path):
     table = KeyedTable(spark, str(tmp_path / "t"), SCHEMA, "key", 4)
     table.put("a", rows(spark, *((f"k{i}", i) for i in range(50))))
@@ -199,6 +214,11 @@ def test_bootstrap_beyond_32_bits_and_below_the_top_of_the_tree(spark, monkeypat
     assert max(abs(v - mean) for v in found.values()) < 6 * np.sqrt(mean)
 
 
+def test_rows_without_a_key_cannot_be_drawn(spark):
+    with pytest.raises(ValueError, match="1 rows have no k"):
+        sampling.bootstrap_counts(spark.createDataFrame([(1,), (None,)], "k long"), "k", 10, 1)
+
+
 def test_one_row_takes_all_draws(spark):
     one = spark.range(1)
     assert sampling.resize(one, "id", 9).count() == 9
