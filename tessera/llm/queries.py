@@ -12,7 +12,7 @@ from ..session import ship_package
 from . import exact_dedup, image_copies, langid, line_dedup, merkle, mil_toxicity, mixing, packing, pu_quality, simhash, spelling, substring_dedup, token_counts
 from .merkle_sql import manifest_sql
 from .spelling_sql import VARIANTS_SQL
-from .staging import staged
+from .staging import release, staged
 from .text import word_count
 
 #: Rows of text that are handed to Python at once; texts may be long.
@@ -55,8 +55,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures made of all vectors, and edited copies among them; queries are the ids divisible by 100."""
-    media = image_copies.media_table(table(spark, sf_dir, "embeddings"))
-    return image_copies.find_copies(media, F.col("media_id") % 100 == 0)
+    # written, so that making pictures and describing them are not two Python workers a task
+    media = staged(image_copies.media_table(table(spark, sf_dir, "embeddings")), "pictures")
+    found = image_copies.find_copies(media, F.col("media_id") % 100 == 0)
+    release(media)
+    return found
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
