@@ -74,7 +74,7 @@ def quoted_rightly(line: Column) -> Column:
 def _csv_group(spark: SparkSession, header: tuple[str, ...], paths: list[str]) -> DataFrame:
     """Rows of files with one header, as strings by its names (lower-cased and trimmed, the last of equal ones), and the mark."""
     # one field a line: the reader leaves out each file's first line, and the line stays as it is
-    whole = {"header": True, "sep": "\x01", "quote": "", "maxCharsPerColumn": -1}
+    whole = {"header": True, "sep": "\x01\x1f\x01", "quote": "", "maxCharsPerColumn": -1}
     lines = spark.read.options(**whole).schema("line string").csv(paths)
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(header))] + [T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"'})
