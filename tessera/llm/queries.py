@@ -55,11 +55,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures made of all vectors, and edited copies among them; queries are the ids divisible by 100."""
-    # written, so that making pictures and describing them are not two Python workers a task
+    # written, so that making pictures and describing them are not two Python workers a task, and gone once they are described
     media = staged(image_copies.media_table(table(spark, sf_dir, "embeddings")), "pictures")
-    found = image_copies.find_copies(media, F.col("media_id") % 100 == 0)
+    images = image_copies.described(media, F.col("media_id") % 100 == 0)
     release(media)
-    return found
+    return image_copies.copies_among(images)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
