@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import release, staged
 
 
 def split_hash_value(seed: int, key: Column) -> Column:
@@ -92,7 +92,9 @@ def _copies(df: DataFrame, key: str, target: int, seed: int) -> DataFrame:
     return df.join(bootstrap_counts(df, key, target, seed), key).withColumn("_each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))).drop("_times")
 
 
-#: Rows that share the draws of a leaf of the tree of hash prefixes, about.
+#: Draws that are made one by one; more are split down a tree of hash prefixes.
+DRAWN = 100_000_000
+#: Rows that share the draws of a leaf of that tree, about.
 LEAF_ROWS = 10_000
 #: Hex digits of the part of the tree that the driver splits: 65,536 counts at most.
 TOP_DIGITS = 4
@@ -103,17 +105,44 @@ MANY = 256
 def bootstrap_counts(df: DataFrame, key: str, target: int, seed: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(key, _times): how often each row is drawn in ``target`` draws with replacement, rows that are drawn at all.
 
-    Counts are those of independent draws, but no draw is made.  Rows are the leaves of a tree of the digits of their
-    hash; at each node the draws are split among the children by binomials that depend on seed and node only, in proportion
-    to the rows below.  Within the last node rows take their counts one after the other, in order of their hash, so
-    a task holds a few numbers whatever the size of a node.  Counts add up to ``target`` and don't depend on partitioning.
-    Only keys are shuffled.  ``key`` must be unique; null keys are refused.
+    Up to ``DRAWN`` draws are made one by one: draw i (from 0) takes the row at place floor(u * rows) of ``dense_index``, where
+    u is the first 13 hex digits of md5("seed|draw|i") over 2 ** 52.  More are split down a tree instead.  Either way counts are
+    those of independent draws, add up to ``target`` and don't depend on partitioning.  Only keys are shuffled.
+    ``key`` must be unique; null keys are refused.
     """
-    spark = df.sparkSession
-    hashed = staged(df.select(F.col(key).alias("_key"), F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")).alias("_h")), "hashed")
-    n, nulls = hashed.agg(F.count("*"), F.count_if(F.col("_key").isNull())).first()
+    return counts_by_draws(df, key, target, seed) if target <= DRAWN else counts_by_tree(df, key, target, seed, leaf_rows)
+
+
+def counts_by_draws(df: DataFrame, key: str, target: int, seed: int) -> DataFrame:
+    """``bootstrap_counts`` in time that grows with rows and draws: equal places are counted, then met by the rows."""
+    keys = staged(df.select(F.col(key).alias("_key")), "keys")
+    n = _rows_with_keys(keys, key)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|draw|"), F.col("id").cast("string")).cast("binary")), 1, 13)
+    place = F.floor(F.conv(digits, 16, 10).cast("bigint") / F.lit(2.0**52) * F.lit(n)).alias("_place")
+    draws = df.sparkSession.range(target).select(place).groupBy("_place").agg(F.count("*").alias("_times"))
+    times = staged(dense_index(keys, "_key", "_place", n).join(draws, "_place").select(F.col("_key").alias(key), "_times"), "times")
+    release(keys)
+    return times
+
+
+def _rows_with_keys(keys: DataFrame, key: str) -> int:
+    """Number of rows, all of which must have a _key."""
+    n, nulls = keys.agg(F.count("*"), F.count_if(F.col("_key").isNull())).first()
     if nulls:
         raise ValueError(f"{nulls} rows have no {key}")
+    return n
+
+
+def counts_by_tree(df: DataFrame, key: str, target: int, seed: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``bootstrap_counts`` in time that grows with rows only: no draw is made.
+
+    Rows are the leaves of a tree of the digits of their hash; at each node the draws are split among the children by
+    binomials that depend on seed and node only, in proportion to the rows below.  Within the last node rows take their
+    counts one after the other, in order of their hash, so a task holds a few numbers whatever the size of a node.
+    """
+    spark = df.sparkSession
+    hashed = staged(df.select(F.col(key).alias("_key"), F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary")).alias("_h")), "hashed")
+    n = _rows_with_keys(hashed, key)
     digits = 0
     while leaf_rows * 16**digits < n:
         digits += 1

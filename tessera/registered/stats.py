@@ -182,23 +182,11 @@ def resize_down(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bootstrap_sql(table: str, key: str, target: int) -> str:
-    """Rows in order of their hash take their binomial numbers of the draws that are left, one after the other."""
-    return f"""WITH RECURSIVE hashed AS (SELECT *, md5(concat('42|', {key}::VARCHAR)) AS h FROM {table}),
-base AS (SELECT *, row_number() OVER (ORDER BY h) AS place, count(*) OVER () AS n, ('0x' || substr(h, 17, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS u FROM hashed),
-walk AS (
-  SELECT 1::BIGINT AS place, {target}::BIGINT AS draws, 0::BIGINT AS k, pow(1 - 1.0::DOUBLE / any_value(n), {target}) AS chance, pow(1 - 1.0::DOUBLE / any_value(n), {target}) AS total, false AS taken FROM base
-  UNION ALL
-  SELECT CASE WHEN w.taken THEN w.place + 1 ELSE w.place END,
-         CASE WHEN w.taken THEN w.draws - w.k ELSE w.draws END,
-         CASE WHEN w.taken THEN 0 WHEN b.place = b.n THEN w.draws WHEN s.done THEN w.k ELSE w.k + 1 END,
-         CASE WHEN w.taken THEN pow(1 - 1.0::DOUBLE / (b.n - b.place), w.draws - w.k) WHEN s.done THEN w.chance ELSE w.chance * s.more END,
-         CASE WHEN w.taken THEN pow(1 - 1.0::DOUBLE / (b.n - b.place), w.draws - w.k) WHEN s.done THEN w.total ELSE w.total + w.chance * s.more END,
-         NOT w.taken AND s.done
-  FROM walk w JOIN base b ON b.place = w.place,
-  LATERAL (SELECT b.place = b.n OR b.u < w.total OR w.k >= w.draws OR w.chance <= 0 AS done,
-                  (w.draws - w.k) / (w.k + 1)::DOUBLE * (1.0::DOUBLE / (b.n - b.place + 1) / (1 - 1.0::DOUBLE / (b.n - b.place + 1))) AS more) s
-  WHERE NOT (w.taken AND b.place = b.n))
-SELECT base.*, walk.k FROM walk JOIN base USING (place) WHERE walk.taken"""
+    """Rows with k, how many of the draws take their place in the order of the hash of their key; those that any draw takes."""
+    return f"""WITH placed AS (SELECT *, row_number() OVER (ORDER BY md5({key}::VARCHAR), {key}) - 1 AS place FROM {table}),
+drawn AS (SELECT floor(('0x' || substr(md5(concat('42|draw|', i::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * n)::BIGINT AS place, count(*) AS k
+  FROM range({target}) r(i), (SELECT count(*) AS n FROM {table}) GROUP BY 1)
+SELECT placed.*, drawn.k FROM placed JOIN drawn USING (place)"""
 
 
 @query(f"SELECT c_custkey, c_name FROM ({_bootstrap_sql('customer', 'c_custkey', 4000)}), LATERAL (SELECT unnest(range(k)))")
