@@ -189,8 +189,16 @@ drawn AS (SELECT floor(('0x' || substr(md5(concat('42|draw|', i::VARCHAR)), 1, 1
 SELECT placed.*, drawn.k FROM placed JOIN drawn USING (place)"""
 
 
-@query(f"SELECT c_custkey, c_name FROM ({_bootstrap_sql('customer', 'c_custkey', 4000)}), LATERAL (SELECT unnest(range(k)))")
+def _resized_sql(table: str, key: str, target: int) -> str:
+    """Rows with k: those of a bootstrap where the table has fewer than ``target``, else once each those of the smallest hash."""
+    return f"""SELECT * FROM ({_bootstrap_sql(table, key, target)}) WHERE (SELECT count(*) FROM {table}) < {target}
+UNION ALL BY NAME SELECT * EXCLUDE (nth), 1 AS k FROM (SELECT *, row_number() OVER (ORDER BY {HASH_SQL.format(k=key)} || '|' || {key}::VARCHAR) AS nth FROM {table})
+WHERE nth <= {target} AND (SELECT count(*) FROM {table}) >= {target}"""
+
+
+@query(f"SELECT c_custkey, c_name FROM ({_resized_sql('customer', 'c_custkey', 4000)}), LATERAL (SELECT unnest(range(k)))")
 def resize_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly 4,000 rows: a bootstrap of fewer, a sample without replacement of as many or more."""
     return sampling.resize(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 4000)
 
 

@@ -39,3 +39,12 @@ def test_counts_by_tree_are_those_of_draws(spark):
     mean = target / n
     square = sum((found.get(f"k{i}", 0) - mean) ** 2 for i in range(n)) / mean
     assert abs(square - (n - 1)) < 5 * np.sqrt(2 * (n - 1))
+
+
+def customers(spark, n):
+    return spark.range(1, n + 1).select(F.col("id").alias("c_custkey"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("c_name"))
+
+
+@pytest.mark.parametrize("n", [1500, 3999, 4000, 4001, 9000])
+def test_resizing_equals_its_sql_from_fewer_and_from_more_rows(spark, tmp_path, n):
+    assert equals_sql(spark, tmp_path, "resize_up", customer=customers(spark, n))
