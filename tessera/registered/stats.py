@@ -233,14 +233,14 @@ def scale_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scaled_sql(job: sampling.ScaleJob, target: int) -> str:
-    """Rows of a bootstrap numbered by copy, then all of them by the hash of key and copy."""
-    boot = _bootstrap_sql(job.table, job.key, target)
+    """Resized rows numbered by copy, then all of them by the hash of key and copy."""
+    boot = _resized_sql(job.table, job.key, target)
     copies = f"copies AS (SELECT {job.key}, concat_ws('|', {job.key}::VARCHAR, each::VARCHAR) AS row FROM ({boot}), LATERAL (SELECT unnest(range(1, k + 1)) AS each))"
     return f"WITH {copies} SELECT {job.key}, concat('{job.prefix}-', lpad((row_number() OVER (ORDER BY md5(row), row))::VARCHAR, 9, '0')) AS id FROM copies"
 
 
 @query(_scaled_sql(JOBS[0], 4000))
 def scale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One table resized upwards, row by row: which rows it has how often, and the new id of each."""
+    """One table resized to 4,000 rows, row by row: which rows it has how often, and the new id of each."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return sampling.scaled(customers, JOBS[0], 4000).select("c_custkey", F.col("c_name").alias("id"))

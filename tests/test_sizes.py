@@ -48,3 +48,8 @@ def customers(spark, n):
 @pytest.mark.parametrize("n", [1500, 3999, 4000, 4001, 9000])
 def test_resizing_equals_its_sql_from_fewer_and_from_more_rows(spark, tmp_path, n):
     assert equals_sql(spark, tmp_path, "resize_up", customer=customers(spark, n))
+
+
+@pytest.mark.parametrize("n", [1500, 4001])
+def test_scaled_rows_equal_their_sql_from_fewer_and_from_more_rows(spark, tmp_path, n):
+    assert equals_sql(spark, tmp_path, "scale_rows", customer=customers(spark, n))
