@@ -53,3 +53,15 @@ def test_resizing_equals_its_sql_from_fewer_and_from_more_rows(spark, tmp_path,
 @pytest.mark.parametrize("n", [1500, 4001])
 def test_scaled_rows_equal_their_sql_from_fewer_and_from_more_rows(spark, tmp_path, n):
     assert equals_sql(spark, tmp_path, "scale_rows", customer=customers(spark, n))
+
+
+def test_files_of_a_stream_grow_in_number_not_in_size(spark, monkeypatch):
+    from tessera.registered import streams
+    from tessera.streaming import jobs
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    batches = []
+    stream = streams._stream(spark, spark.range(3000), "many", 3000)
+    jobs.run_available(stream.writeStream.foreachBatch(lambda df, _: batches.append((df.select(F.input_file_name()).distinct().count(), df.count()))))
+    assert [files for files, _ in batches] == [10, 10, 10] and sum(n for _, n in batches) == 3000
+    assert max(n for _, n in batches) < 1300
