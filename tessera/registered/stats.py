@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as ag
 from ..operators import metrics, sampling
-from ..operators.ranks import placed
+from ..operators.ranks import PART_ROWS, placed
 from .registry import query, rounded, table
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -106,8 +106,13 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # one score for each row: a permutation of the ids
 EACH_SQL = "e AS (SELECT event_id, event_id * 2654435761 % 4294967291 AS score, (event_type = 'error')::INT::DOUBLE AS y FROM events), r AS (SELECT *, row_number() OVER (ORDER BY score) AS rank FROM e)"
-#: Rows that a range is meant to hold here, so that small tables have several.
-SMALL_PARTS = 500
+#: Ranges that a table is meant to have here, so that small ones have several.
+RANGES = 20
+
+
+def part_rows(rows: int) -> int:
+    """Rows of a range: a share of a small table, as many as one task is meant to place of a large one."""
+    return min(PART_ROWS, max(500, rows // RANGES))
 
 
 def _each(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,19 +121,20 @@ def _each(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EACH_SQL} SELECT score, 1::BIGINT AS n, y AS positives, rank::DOUBLE AS rank FROM r")
 def avg_rank_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.average_ranks(_each(spark, sf_dir), "score", "y", SMALL_PARTS)
+    each = _each(spark, sf_dir)
+    return metrics.average_ranks(each, "score", "y", part_rows(each.count()))
 
 
 @query(f"WITH {EACH_SQL} SELECT round((sum(y * rank) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 9) AS auc FROM r")
 def auc_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.auc(_each(spark, sf_dir), "score", "y", SMALL_PARTS), auc=9)
+    return rounded(metrics.auc(_each(spark, sf_dir), "score", "y", 500), auc=9)
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS place FROM events")
 def score_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each event, from the highest value down, ties by id."""
     down = table(spark, sf_dir, "events").select("event_id", (-F.col("value")).alias("down"))
-    return placed(down, ["down", "event_id"], part_rows=SMALL_PARTS).select("event_id", F.col("before").alias("place"))
+    return placed(down, ["down", "event_id"], part_rows=500).select("event_id", F.col("before").alias("place"))
 
 
 @query(f"WITH {SCORES_SQL}, c AS (SELECT y, score, least(greatest(score, 1e-12), 1 - 1e-12) AS q FROM s) SELECT round(avg(((score >= 0.5) = (y = 1))::INT), 9) AS accuracy, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS log_loss FROM c")

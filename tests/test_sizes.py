@@ -65,3 +65,21 @@ def test_files_of_a_stream_grow_in_number_not_in_size(spark, monkeypatch):
     jobs.run_available(stream.writeStream.foreachBatch(lambda df, _: batches.append((df.select(F.input_file_name()).distinct().count(), df.count()))))
     assert [files for files, _ in batches] == [10, 10, 10] and sum(n for _, n in batches) == 3000
     assert max(n for _, n in batches) < 1300
+
+
+def ranges_of(spark, monkeypatch, name, folder, rows):
+    """Numbers of ranges that a query deals a table of ``rows`` events into."""
+    from tessera.operators import ranks
+    from tessera.registered import stats
+
+    parts, find = [], ranks.parts_for
+    monkeypatch.setattr(ranks, "parts_for", lambda n, part_rows: parts.append(find(n, part_rows)) or parts[-1])
+    events = spark.range(rows).select(F.col("id").alias("event_id"), F.when(F.col("id") % 5 == 0, "error").otherwise("view").alias("event_type"), (F.col("id") * 7919 % 10007 / 7).alias("value"))
+    assert equals_sql(spark, folder, name, events=events)
+    assert [stats.part_rows(n) for n in (10, 100_000, 36_000_000)] == [500, 5_000, 1_000_000]
+    return parts
+
+
+@pytest.mark.parametrize("name", ["avg_rank_distinct"])
+def test_ranges_do_not_become_many(spark, monkeypatch, tmp_path, name):
+    assert ranges_of(spark, monkeypatch, name, tmp_path, 30_000) == [20]
