@@ -127,7 +127,8 @@ def avg_rank_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EACH_SQL} SELECT round((sum(y * rank) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 9) AS auc FROM r")
 def auc_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.auc(_each(spark, sf_dir), "score", "y", 500), auc=9)
+    each = _each(spark, sf_dir)
+    return rounded(metrics.auc(each, "score", "y", part_rows(each.count())), auc=9)
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS place FROM events")
