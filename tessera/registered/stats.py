@@ -134,8 +134,9 @@ def auc_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS place FROM events")
 def score_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of each event, from the highest value down, ties by id."""
-    down = table(spark, sf_dir, "events").select("event_id", (-F.col("value")).alias("down"))
-    return placed(down, ["down", "event_id"], part_rows=500).select("event_id", F.col("before").alias("place"))
+    events = table(spark, sf_dir, "events")
+    down = events.select("event_id", (-F.col("value")).alias("down"))
+    return placed(down, ["down", "event_id"], part_rows=part_rows(events.count())).select("event_id", F.col("before").alias("place"))
 
 
 @query(f"WITH {SCORES_SQL}, c AS (SELECT y, score, least(greatest(score, 1e-12), 1 - 1e-12) AS q FROM s) SELECT round(avg(((score >= 0.5) = (y = 1))::INT), 9) AS accuracy, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) AS log_loss FROM c")

@@ -80,6 +80,6 @@ def ranges_of(spark, monkeypatch, name, folder, rows):
     return parts
 
 
-@pytest.mark.parametrize("name", ["avg_rank_distinct", "auc_distinct"])
+@pytest.mark.parametrize("name", ["avg_rank_distinct", "auc_distinct", "score_order"])
 def test_ranges_do_not_become_many(spark, monkeypatch, tmp_path, name):
     assert ranges_of(spark, monkeypatch, name, tmp_path, 30_000) == [20]
