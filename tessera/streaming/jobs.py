@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -121,46 +122,65 @@ def reuse_with_ttl(stream: DataFrame, key: str, ttl_ms: int) -> DataFrame:
     return grouped.transformWithStateInPandas(Reuse(), "key string, requests bigint, computed bigint", "Append", "ProcessingTime")
 
 
-def reuse_on_clock(stream: DataFrame, key: str, time: str, id: str, ttl_ms: int, late: str = "1 hour") -> DataFrame:
+#: Groups of keys whose results ``reuse_on_clock`` keeps together.
+REUSE_BUCKETS = 1024
+
+
+def reuse_on_clock(stream: DataFrame, key: str, time: str, id: str, ttl_ms: int, late: str = "1 hour", buckets: int = REUSE_BUCKETS) -> DataFrame:
     """(id, hit) of each request: whether its key has a result that was computed less than ``ttl_ms`` before, by the requests' own time.
 
-    A request without a live result computes one, which is good for ``ttl_ms`` from then, however often it is used.  State
-    is one time a key; a timer removes it when the watermark, ``late`` behind the latest request, has passed its end.  Of one
-    batch of a key only times and ids are held.  Requests that come after the watermark are left out, as in any such
-    stream.  Needs ``STATE_STORE``.
+    A request without a live result computes one, which is good for ``ttl_ms`` from then, however often it is used.  Keys are
+    hashed to ``buckets`` (one number for the life of a checkpoint), whose state is read and written as a whole, as calls to the
+    state store cost far more than rows do.  State is one time a key; a timer removes it when the watermark, ``late`` behind the
+    latest request, has passed its end.  Of one batch of a bucket only keys, times and ids are held.  Requests that come after the
+    watermark are left out, as in any such stream.  Needs ``STATE_STORE``.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Reuse(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.written = handle.getValueState("written", "at bigint")
+            self.written = handle.getListState("written", "key string, at bigint")
+
+        def keep(self, known: dict[str | None, int], timerValues) -> None:
+            """State of the results that are good beyond the watermark, and the timer of the first to end."""
+            watermark = timerValues.getCurrentWatermarkInMs()
+            good = [(k, at) for k, at in known.items() if at + ttl_ms > watermark]
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if good:
+                self.written.put(good)
+                self.handle.registerTimer(min(at for _, at in good) + ttl_ms)
+            else:
+                self.written.clear()
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            found = pd.concat(list(rows)).sort_values(["at", "id"], ignore_index=True)
-            times = found["at"].to_numpy()
-            before = self.written.get()[0] if self.written.exists() else None
-            hit, at, end = np.ones(len(times), bool), before, 0 if before is None else int(np.searchsorted(times, before + ttl_ms))
-            # from one computed result to the next: the first request at or after its end
-            while end < len(times):
-                hit[end], at = False, int(times[end])
-                end = int(np.searchsorted(times, at + ttl_ms))
-            if at != before:
-                if before is not None:
-                    self.handle.deleteTimer(before + ttl_ms)
-                self.written.update((at,))
-                self.handle.registerTimer(at + ttl_ms)
+            known = {k: at for k, at in self.written.get()} if self.written.exists() else {}
+            found = pd.concat(list(rows), ignore_index=True).sort_values(["key", "at", "id"], ignore_index=True)
+            codes, keys = pd.factorize(found["key"], use_na_sentinel=False)
+            ends = np.cumsum(np.bincount(codes))
+            times, hit, start = found["at"].tolist(), np.ones(len(found), bool), 0
+            for name, stop in zip(keys, ends.tolist(), strict=True):
+                name = name if isinstance(name, str) else None
+                at = known.get(name)
+                end = start if at is None else bisect_left(times, at + ttl_ms, start, stop)
+                # from one computed result to the next: the first request at or after its end
+                while end < stop:
+                    hit[end], at = False, times[end]
+                    end = bisect_left(times, at + ttl_ms, end, stop)
+                known[name], start = at, stop
+            self.keep(known, timerValues)
             yield pd.DataFrame({"id": found["id"], "hit": hit})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self.written.clear()
+            self.keep({k: at for k, at in self.written.get()} if self.written.exists() else {}, timerValues)
             yield pd.DataFrame({"id": pd.Series([], dtype="int64"), "hit": pd.Series([], dtype="bool")})
 
         def close(self) -> None:
             pass
 
-    timed = stream.select(F.col(key).alias("key"), F.col(id).cast("bigint").alias("id"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", late)
-    grouped = timed.withColumn("at", F.unix_millis("time")).groupBy("key")
+    timed = stream.select(F.col(key).cast("string").alias("key"), F.col(id).cast("bigint").alias("id"), F.col(time).cast("timestamp").alias("time")).withWatermark("time", late)
+    grouped = timed.withColumn("at", F.unix_millis("time")).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket")
     return grouped.transformWithStateInPandas(Reuse(), "id bigint, hit boolean", "Append", "EventTime")
 
 

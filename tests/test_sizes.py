@@ -83,3 +83,23 @@ def ranges_of(spark, monkeypatch, name, folder, rows):
 @pytest.mark.parametrize("name", ["avg_rank_distinct", "auc_distinct", "score_order"])
 def test_ranges_do_not_become_many(spark, monkeypatch, tmp_path, name):
     assert ranges_of(spark, monkeypatch, name, tmp_path, 30_000) == [20]
+
+
+def test_state_of_reuse_is_kept_by_buckets_of_keys(spark, tmp_path):
+    from tessera.streaming import jobs
+
+    made = [(None if i % 7 == 0 else f"k{i % 7}", i * 37 % 101, i) for i in range(300)]
+    df = spark.createDataFrame(made, "key string, s long, id long").select("key", F.timestamp_seconds(F.col("s") + 1_000_000_000).alias("at"), "id")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
+    try:
+        hits = jobs.reuse_on_clock(jobs.file_stream(spark, df.schema, str(tmp_path / "in")), "key", "at", "id", 20_000, buckets=2)
+        jobs.run_available(hits.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    written, expected = {}, {}
+    for key, s, id in sorted(made, key=lambda r: (r[1], r[2])):
+        expected[id] = key in written and s < written[key] + 20
+        if not expected[id]:
+            written[key] = s
+    assert {r["id"]: r["hit"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == expected
