@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import models
 from ..plans import training
-from ..staging import scratch_folder
+from ..staging import scratch_folder, staged
 from .registry import DATA_SQL, LINES, lines, query, rounded
 
 ALL = [*LINES.names, LINES.binary_target, *LINES.continuous_targets]
@@ -111,8 +111,9 @@ LINEAR_SQL = ("({t})", "({p} - {y}) * ({p} - {y}) / 2")
 
 
 def _standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written before they are scaled, so the tables are joined once for both passes."""
     columns = [*LINES.names, *LINES.continuous_targets]
-    data = _data(spark, sf_dir).select("id", *columns, LINES.binary_target)
+    data = staged(_data(spark, sf_dir).select(*columns, LINES.binary_target), "data")
     return ft.fit_scaler(data, columns).transform(data)
 
 
