@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -64,25 +65,28 @@ def gradient_state(df: DataFrame, model: GlmModel, weights: Sequence[float], xs:
     return rows.agg(F.array(*sums).alias("g"), F.sum(model.column_loss(F.col("_p"), F.col("_y"))).alias("loss"), F.count("*").alias("n"))
 
 
-#: Rows of a block: 8 MB at a dozen columns.
+#: Rows of a block: 8 MB at a dozen columns of many values.
 BLOCK_ROWS = 65_536
+#: Values of a column of a block up to which each is kept once, and a byte a row.
+FEW = 256
 
 
 def blocks(df: DataFrame, xs: Sequence[str], ys: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
     """(n, cells): the rows of ``df`` as matrices of (1, xs, ys), one a block, for passes that read all columns of all rows.
 
-    A block is one value of the table, so keeping, spilling and handing it on cost nothing a row.
+    A block is one value of the table, so keeping, spilling and handing it on cost nothing a row.  The ones are not kept, and
+    a column of few values takes a byte a row.
     """
     columns = [*xs, *ys]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
-            a = np.ones((batch.num_rows, len(columns) + 1))
+            a = np.empty((len(columns), batch.num_rows))
             for i in range(len(columns)):
-                a[:, i + 1] = np.asarray(batch.column(i))
+                a[i] = np.asarray(batch.column(i))
             held.append(a)
-            if sum(map(len, held)) >= rows:
+            if sum(a.shape[1] for a in held) >= rows:
                 yield _block(held)
                 held = []
         if held:
@@ -92,8 +96,39 @@ def blocks(df: DataFrame, xs: Sequence[str], ys: Sequence[str], rows: int = BLOC
 
 
 def _block(parts: list[np.ndarray]) -> pa.RecordBatch:
-    a = np.concatenate(parts)
-    return pa.RecordBatch.from_arrays([pa.array([len(a)], pa.int64()), pa.array([a.tobytes()], pa.binary())], names=["n", "cells"])
+    a = np.concatenate(parts, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array([a.shape[1]], pa.int64()), pa.array([_packed(a)], pa.binary())], names=["n", "cells"])
+
+
+def _packed(columns: np.ndarray) -> bytes:
+    """For each row of ``columns`` its number of values (0: many), then the values or the whole row, then a byte a cell for those of few."""
+    counts, values, codes = [], [], []
+    for column in columns:
+        few = len(np.unique(column[: 4 * FEW])) <= FEW
+        code, known = pd.factorize(column, use_na_sentinel=False) if few else ((), column)
+        few = few and len(known) <= FEW
+        counts.append(len(known) if few else 0)
+        values.append(known if few else column)
+        codes.append(code.astype(np.uint8) if few else np.empty(0, np.uint8))
+    return b"".join([np.array(counts, np.int64).tobytes(), *(np.ascontiguousarray(v).tobytes() for v in values), *(c.tobytes() for c in codes)])
+
+
+def _unpacked(cells: pa.Buffer, n: int, width: int) -> np.ndarray:
+    """The matrix of a block: a column of ones, then those that ``_packed`` was given."""
+    a = np.empty((width, n))
+    a[0] = 1
+    counts = np.frombuffer(cells, np.int64, width - 1)
+    at = 8 * (width - 1)
+    code = at + 8 * int(np.where(counts > 0, counts, n).sum())
+    for i, k in enumerate(counts.tolist(), 1):
+        values = np.frombuffer(cells, np.float64, k or n, at)
+        at += 8 * len(values)
+        if k:
+            np.take(values, np.frombuffer(cells, np.uint8, n, code), out=a[i], mode="clip")
+            code += n
+        else:
+            a[i] = values
+    return a.T
 
 
 def _block_sums(packed: DataFrame, size: int, add: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
@@ -103,7 +138,7 @@ def _block_sums(packed: DataFrame, size: int, add: Callable[[np.ndarray], np.nda
         total = np.zeros(size)
         for batch in batches:
             for n, cells in zip(batch.column("n").to_pylist(), batch.column("cells"), strict=True):
-                total += add(np.frombuffer(cells.as_buffer(), np.float64).reshape(n, width))
+                total += add(_unpacked(cells.as_buffer(), n, width))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
 
     sums = packed.mapInArrow(partial, "s array<double>").agg(*(F.sum(F.col("s")[i]) for i in range(size))).first()

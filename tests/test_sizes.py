@@ -103,3 +103,26 @@ def test_state_of_reuse_is_kept_by_buckets_of_keys(spark, tmp_path):
         if not expected[id]:
             written[key] = s
     assert {r["id"]: r["hit"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == expected
+
+
+def test_blocks_keep_columns_of_few_values_as_bytes(spark):
+    from tessera.operators import models
+
+    n = 5000
+    rng = np.random.default_rng(1)
+    columns = np.array([rng.integers(0, 2, n), rng.random(n), np.where(np.arange(n) == 7, np.nan, rng.integers(0, 256, n) / 3), np.minimum(np.arange(n) % 2000, 300)], float)
+    cells = models._packed(columns)
+    assert len(cells) < 8 * 4 + 8 * (2 + 257) + 2 * n * 8 + 2 * n * 8
+    found = models._unpacked(cells, n, 5)
+    assert np.array_equal(found[:, 1:], columns.T, equal_nan=True) and (found[:, 0] == 1).all()
+    few = spark.range(n).select(*((F.col("id") % m).cast("double").alias(f"x{m}") for m in (2, 3, 5, 200)))
+    assert models.blocks(few, few.columns[:3], few.columns[3:]).select(F.sum(F.length("cells"))).first()[0] < 5 * n + 8 * 1000 < 8 * 5 * n
+
+
+def test_the_tables_are_joined_once_for_scaling_and_training(spark):
+    from tessera.registered import learning
+
+    plan = learning._standardised(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    _, test = learning._fitted(spark, "/root/testdata/sf0.001")
+    assert "Join" not in test._jdf.queryExecution().executedPlan().toString()
