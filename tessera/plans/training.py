@@ -14,6 +14,7 @@ from ..operators import features as ft
 from ..operators import metrics, models
 from ..operators.sampling import in_test
 from ..spec import FeatureSpec
+from ..staging import staged
 
 HIGH_RISK = 0.6
 BUNDLE = "features array<string>, scaler_mean array<double>, scaler_std array<double>, w_risk array<double>, w_survival array<double>, w_cost array<double>, survival_mean double, survival_std double, cost_mean double, cost_std double"
@@ -84,8 +85,11 @@ def scaler_rows(data: DataFrame, config: TrainConfig) -> DataFrame:
 
 
 def fit(df: DataFrame, spec: FeatureSpec, config: TrainConfig = TrainConfig()) -> tuple[Bundle, DataFrame]:
-    """The trained bundle and the standardised rows of the test part with their targets."""
-    data = split_dataset(df, spec, config)
+    """The trained bundle and the standardised rows of the test part with their targets.
+
+    The dataset is written once, so ``df`` is made once for scaling, training and all metrics.
+    """
+    data = staged(split_dataset(df, spec, config), "dataset")
     fitted_on = scaler_rows(data, config)
     targets = (spec.binary_target, *spec.continuous_targets)
     stats = ft.fit_scaler(fitted_on, [*spec.names, *spec.continuous_targets])
