@@ -127,3 +127,38 @@ def test_a_descriptor_that_all_corners_have(spark):
     rows = [(i, 160, 160, pixels(np.roll(stripes, i % 16, 1) + i)) for i in range(8)] + [(100, 80, 80, pixels(one)), (101, 64, 62, pixels(one[5:67, 3:67]))]
     found = {(r["query_id"], r["media_id"]) for r in image_copies.find_copies(spark.createDataFrame(rows, SIZES), F.col("media_id") % 100 == 0).collect()}
     assert (100, 101) in found and not found & {(100, i) for i in range(8)}
+
+
+def test_few_corners_of_other_pictures_are_compared():
+    """Corners are alike in many tests, so words are shared by many; of 20,000 random ones each was once compared with some 800."""
+    rng = np.random.default_rng(11)
+    corners = np.concatenate([image_copies._corners(i, np.rint(image_copies.picture(rng.normal(size=8))).astype(np.uint8)) for i in range(120)])
+    half = int(np.flatnonzero(corners["corner"] == 0)[60])
+    asked, rows = corners[:half], corners[half:]
+    tables = image_copies.Tables(asked)
+    # by brute force
+    apart = sum(np.bitwise_count(rows[h][:, None] ^ asked[h][None]) for h in ("h0", "h1"))
+    expected = set(zip(*(x.tolist() for x in np.nonzero(apart <= image_copies.MOST_BITS)), strict=True))
+    found = [pair for m, q in tables.near(rows) for pair in zip(m.tolist(), q.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and set(found) == expected
+    # corners whose words differ in one bit at most are compared, and words part corners well
+    met = [tables.parts[part][0] for part in range(image_copies.WORDS)]
+    words = [image_copies._word(rows["h0"], rows["h1"], part) for part in range(image_copies.WORDS)]
+    candidates = sum(int((starts[w + 1] - starts[w]).sum()) for starts, w in zip(met, words, strict=True))
+    assert candidates < 0.018 * len(rows) * len(asked)
+
+
+def test_matches_that_are_too_many_to_hold_are_found_in_halves(monkeypatch):
+    rng = np.random.default_rng(12)
+    images = [image_copies.picture(rng.normal(size=8)) for _ in range(12)]
+    corners = [image_copies._corners(i, np.rint(im).astype(np.uint8)) for i, im in enumerate([*images, *(im[4:66, 7:71] for im in images)])]
+    tables, rows = image_copies.Tables(np.concatenate(corners[:12])), np.concatenate(corners)
+
+    def found():
+        return sorted(row for part in image_copies.agreed(rows, tables, image_copies.INLIERS) for row in zip(*(c.tolist() for c in part), strict=True))
+
+    whole = found()
+    assert {(i, i + 12) for i in range(12)} <= {row[:2] for row in whole}
+    for name, value in (("MATCHES_HELD", 5), ("GROUP", 1), ("FREQUENT", 1), ("PAIRS_AT_ONCE", 7)):
+        monkeypatch.setattr(image_copies, name, value)
+    assert found() == whole
