@@ -8,8 +8,8 @@
 3. Banding: ``BANDS`` groups of ``ROWS`` minima make a bucket each.  Lines of Jaccard similarity 0.8 meet
    in at least one bucket with a chance of 0.995, those of 0.85 with 0.999 (simulated; each minimum serves
    in one or two bands).
-4. Verification is exact, on sets of the hashes (32 bits) of all shingles, which are made once a line, after a
-   comparison of the sets' sizes.  In each bucket all lines are compared with the first one, and components are
+4. Verification is exact, on sets of the hashes (31 bits) of all shingles, which are made once a line, after a
+   comparison of the sets' sizes.  Texts are moved for lines that share a bucket only, told by a bitmap of fixed size and then by key.  In each bucket all lines are compared with the first one, and components are
    made of the links found.  Where a bucket then holds several components, the lines outside its first line's
    component are compared with the bucket's lines of other components.  So a family of similar lines takes a
    pair a line, lines that are connected already are not compared again, and no link between components is lost.
@@ -43,6 +43,8 @@ _rng = random.Random(20)
 XORS = [_rng.getrandbits(31) for _ in range(MINIMA)]
 #: Minima of each band: neighbours first, then those a quarter of all apart.
 BAND_ROWS = ([[ROWS * b + r for r in range(ROWS)] for b in range(MINIMA // ROWS)] + [[b + MINIMA // ROWS * r for r in range(ROWS)] for b in range(MINIMA // ROWS)])[:BANDS]
+#: Bits of the bitmap of keys that goes to all tasks (8 MB), and those of one of its rows, as Spark makes them.
+SEEN_BITS, PART_BITS = 1 << 26, 15
 UNIT = 2  # bytes of a UTF-16 unit
 WHITE = " \t\r\x0b\x0c"
 NO_ID = -(1 << 63)
@@ -83,6 +85,26 @@ def buckets(keyed: DataFrame) -> DataFrame:
     return smallest.select("k1", F.explode(F.array(*bands)).alias("bucket"))
 
 
+def _bit(k1: Column) -> tuple[Column, Column]:
+    """The part of a bitmap of ``SEEN_BITS`` bits that a key falls on, and its bit there."""
+    place = F.pmod(k1, F.lit(SEEN_BITS))
+    return F.shiftright(place, PART_BITS).cast("int"), place.bitwiseAND(F.lit((1 << PART_BITS) - 1))
+
+
+def likely(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose k1 may be among ``keys`` (k1), and few others: none that is among them is lost.
+
+    A bitmap of a fixed size goes to all tasks, so that lines that no other is like are left out before they are moved.
+    """
+    part, bit = _bit(F.col("k1"))
+    bitmap = keys.select(part.alias("part"), bit.alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    part, bit = _bit(F.col("k1"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = keyed.withColumn("part", part).join(F.broadcast(bitmap), "part")
+    mask = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (bit.bitwiseAND(F.lit(7)) + 1).cast("int"))
+    return found.filter(byte.bitwiseAND(mask) != 0).drop("part", "bits")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b), structs of both keys, of the ``pairs`` (a1, b1: first keys) whose exact Jaccard similarity is high enough.
 
@@ -114,8 +136,11 @@ def links(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
     # a null id is equal to itself here
     id = F.coalesce("doc_id", F.lit(NO_ID)).alias("id")
     seen = firsts.join(met.select("k1").distinct(), "k1", "left_semi").select("k1", "k2", id, "line_no")
-    texts = keyed.select("k1", "k2", id, "line_no", F.encode("line", "UTF-16BE").alias("code")).join(seen, ["id", "line_no", "k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    made = staged(texts.select("k1", "k2", shingle_set(F.col("code")).alias("shingles")), "sets")
+    # most lines are like no other; the rest are moved as they are, in half the bytes of their code
+    near = likely(keyed, met.select("k1")).select("k1", "k2", id, "line_no", "line")
+    texts = near.join(seen, ["id", "line_no", "k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    coded = texts.select("k1", "k2", F.encode("line", "UTF-16BE").alias("code"))
+    made = staged(coded.select("k1", "k2", shingle_set(F.col("code")).alias("shingles")), "sets")
     sets = made.withColumn("n", F.size("shingles"))
 
     to_leader = met.filter("k1 <> leader").select(F.col("k1").alias("a1"), F.col("leader").alias("b1")).distinct()

@@ -14,7 +14,7 @@ pytest.importorskip("pyarrow")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tessera.llm import exact_dedup, image_copies, langid, substring_dedup  # noqa: E402
+from tessera.llm import exact_dedup, image_copies, langid, line_dedup, substring_dedup  # noqa: E402
 from tessera.session import ship_package  # noqa: E402
 
 #: What is hidden, as one pattern; it searches to the end of a page from everything left open.
@@ -162,3 +162,18 @@ def test_matches_that_are_too_many_to_hold_are_found_in_halves(monkeypatch):
     for name, value in (("MATCHES_HELD", 5), ("GROUP", 1), ("FREQUENT", 1), ("PAIRS_AT_ONCE", 7)):
         monkeypatch.setattr(image_copies, name, value)
     assert found() == whole
+
+
+def test_lines_that_are_like_no_other_are_not_moved(spark):
+    keyed = spark.range(-3000, 3000).select(F.xxhash64("id").alias("k1"), "id")
+    keys = keyed.filter("id % 10 = 0").select("k1")
+    left = {r["id"] for r in line_dedup.likely(keyed, keys.union(keys)).collect()}
+    assert {i for i in range(-3000, 3000) if i % 10 == 0} <= left and len(left) < 610
+    assert line_dedup.likely(keyed, keys.limit(0)).count() == 0
+
+
+def test_one_bit_of_the_bitmap_is_one_key(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SEEN_BITS", 1 << 16)
+    keyed = spark.range(1 << 16).select(F.col("id").alias("k1"))
+    keys = keyed.filter("k1 % 7 = 3 OR k1 > 65520")
+    assert sorted(r["k1"] for r in line_dedup.likely(keyed, keys).collect()) == [i for i in range(1 << 16) if i % 7 == 3 or i > 65520]
