@@ -130,7 +130,7 @@ def test_a_descriptor_that_all_corners_have(spark):
 
 
 def test_few_corners_of_other_pictures_are_compared():
-    """Corners are alike in many tests, so words are shared by many; of 20,000 random ones each was once compared with some 800."""
+    """Corners are alike in many tests, so words are shared by many; tests that go together are in different words."""
     rng = np.random.default_rng(11)
     corners = np.concatenate([image_copies._corners(i, np.rint(image_copies.picture(rng.normal(size=8))).astype(np.uint8)) for i in range(120)])
     half = int(np.flatnonzero(corners["corner"] == 0)[60])
