@@ -177,3 +177,46 @@ def test_one_bit_of_the_bitmap_is_one_key(spark, monkeypatch):
     keyed = spark.range(1 << 16).select(F.col("id").alias("k1"))
     keys = keyed.filter("k1 % 7 = 3 OR k1 > 65520")
     assert sorted(r["k1"] for r in line_dedup.likely(keyed, keys).collect()) == [i for i in range(1 << 16) if i % 7 == 3 or i > 65520]
+
+
+def test_near_misses_make_few_pairs(spark, monkeypatch):
+    """A family of lines that are alike, but less than 0.8, is parted by sketches; the pairs of it that are similar are found."""
+    rng = np.random.default_rng(13)
+
+    def word():
+        return "".join(rng.choice(list("abcdefghij"), 6))
+
+    base = [word() for _ in range(60)]
+    family = [[word() if i in gone else w for i, w in enumerate(base)] for gone in (set(rng.choice(60, 4, replace=False).tolist()) for _ in range(150))]
+    # of some there is a copy with another last word
+    rows = [" ".join(f) for f in family] + [" ".join([*f[:-1], word()]) for f in family[:20]]
+    sets = [{r[i : i + line_dedup.SHINGLE] for i in range(len(r) - line_dedup.SHINGLE + 1)} for r in rows]
+    similar = {(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    alike = sum(2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j]) for i in range(150) for j in range(i))
+    assert 20 <= len(similar) < 200 and alike > 8000, "nearly all pairs are near misses"
+    written, real = {}, line_dedup.staged
+
+    def noted(df, name):
+        out = real(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "staged", noted)
+    got = line_dedup.deduplicate_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    firsts = {r["doc_id"]: r["first_doc_id"] for r in got}
+    assert all(firsts[i] == firsts[j] for i, j in similar) and len(set(firsts.values())) >= len(rows) - len(similar)
+    assert written["first"] + written["rest"] < 1000
+
+
+def test_sketches_keep_all_similar_lines(spark):
+    rng = np.random.default_rng(14)
+    base = "".join(rng.choice(list("abcdefgh "), 400))
+    rows = [base[i : i + n] for i, n in ((0, 400), (0, 322), (78, 322), (0, 330), (20, 360), (0, 5), (0, 8), (0, 9), (3, 200), (0, 200))] + ["é" * 40, "é" * 50]
+    sets = [{r[i : i + line_dedup.SHINGLE] for i in range(max(1, len(r) - line_dedup.SHINGLE + 1))} for r in rows]
+    texts = spark.createDataFrame([(i, 0, r) for i, r in enumerate(rows)], "k1 long, k2 long, line string")
+    drawn = line_dedup.sketches(texts)
+    pairs = line_dedup._side(drawn, "a").crossJoin(line_dedup._side(drawn, "b")).filter(line_dedup._may_be_similar()).select("a1", "b1").collect()
+    left = {(r["a1"], r["b1"]) for r in pairs}
+    similar = {(i, j) for i in range(len(rows)) for j in range(len(rows)) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert similar <= left and len(left) < len(rows) ** 2 / 2
+    assert {r["k1"]: set(r["shingles"]).__len__() for r in line_dedup.shingle_sets(texts).collect()} == {i: len(s) for i, s in enumerate(sets)}
