@@ -36,8 +36,8 @@ from .components import connected_components
 from .staging import release, staged
 
 SHINGLE = 8
-#: Shingles that are hashed in one row, for minima and for sets.
-RUN, GATHERED = 4, 16
+#: Shingles that are hashed in one row.
+RUN = 4
 MINIMA, BANDS, ROWS = 32, 12, 4
 #: Least Jaccard similarity, as a fraction.
 SIMILAR = (4, 5)
@@ -73,19 +73,19 @@ def _last(code: Column) -> Column:
     return F.greatest((F.octet_length(code) / UNIT).cast("int") - SHINGLE, F.lit(0))
 
 
-def _hashed(lines: DataFrame, run: int = RUN) -> DataFrame:
-    """k1, k2 and the hashes h0, h1, ... (31 bits) of ``run`` shingles in a row, for each of ``lines`` (k1, k2, line)."""
+def _hashed(lines: DataFrame) -> DataFrame:
+    """k1, k2 and the hashes h0, h1, ... (31 bits) of ``RUN`` shingles in a row, for each of ``lines`` (k1, k2, line)."""
     coded = lines.select("k1", "k2", F.encode("line", "UTF-16BE").alias("code")).withColumn("last", _last(F.col("code")))
-    runs = coded.select("k1", "k2", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(run))).alias("i"))
+    runs = coded.select("k1", "k2", "code", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(RUN))).alias("i"))
     # a run's end repeats the last shingle
-    hashes = [F.xxhash64(_shingle_at(F.col("code"), F.least(F.col("i") + j, F.col("last")))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"h{j}") for j in range(run)]
+    hashes = [F.xxhash64(_shingle_at(F.col("code"), F.least(F.col("i") + j, F.col("last")))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"h{j}") for j in range(RUN)]
     return runs.select("k1", "k2", *hashes)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
     """k1, k2, shingles: distinct hashes of the shingles of each of ``texts`` (k1, k2, line; a row a line)."""
-    hashes = F.array(*(F.col(f"h{j}") for j in range(GATHERED)))
-    return _hashed(texts, GATHERED).groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list(hashes))).alias("shingles"))
+    hashes = F.array(*(F.col(f"h{j}") for j in range(RUN)))
+    return _hashed(texts).groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_list(hashes))).alias("shingles"))
 
 
 def sketches(texts: DataFrame) -> DataFrame:
