@@ -14,7 +14,8 @@ pytest.importorskip("pyarrow")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from tessera.llm import exact_dedup, image_copies, langid, line_dedup, substring_dedup  # noqa: E402
+from tessera.llm import exact_dedup, image_copies, langid, line_dedup, queries, substring_dedup  # noqa: E402
+from tessera.llm.queries import table  # noqa: E402
 from tessera.session import ship_package  # noqa: E402
 
 #: What is hidden, as one pattern; it searches to the end of a page from everything left open.
@@ -164,6 +165,49 @@ def test_matches_that_are_too_many_to_hold_are_found_in_halves(monkeypatch):
     assert found() == whole
 
 
+def test_vectors_of_one_file_are_dealt_to_many_tasks(spark, monkeypatch, tmp_path):
+    """Pictures take long to describe, and a table of few bytes is few partitions."""
+    rows = [(i, [i + 0.25, 3.0 * i]) for i in range(30)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(queries, "VECTORS_A_TASK", 10, raising=False)
+    seen = []
+    whole = image_copies.copies_among
+    monkeypatch.setattr(image_copies, "copies_among", lambda images: seen.append(images.filter("image IS NOT NULL").select(F.shiftright("image", 33)).distinct().count()) or whole(images))
+    found = sorted(map(tuple, queries.op4_image_copies(spark, str(tmp_path)).collect()))
+    assert seen == [3]
+    media = image_copies.media_table(table(spark, str(tmp_path), "embeddings"))
+    assert found == sorted(map(tuple, image_copies.find_copies(media, F.col("media_id") % 100 == 0).collect())) and found
+
+
+def test_pictures_described_together_are_described_as_each_alone(monkeypatch):
+    rng = np.random.default_rng(13)
+    images = [image_copies.picture(rng.normal(size=8)) for _ in range(7)]
+    images = [np.rint(image).astype(np.uint8) for image in [*images, *(im[4:66, 7:71] for im in images), images[0][:3, :5], images[1][:26, :30], np.zeros((80, 80)), *images[:3]]]
+    for pixels_at_once in (1, 20_000, 1_000_000):
+        monkeypatch.setattr(image_copies, "TOGETHER", pixels_at_once)
+        together = list(image_copies._corners_of(list(range(len(images))), images))
+        assert all(np.array_equal(image_copies._corners(i, image), got) for i, (image, got) in enumerate(zip(images, together, strict=True)))
+    assert min(len(together[i]) for i in range(7)) > 50
+
+
+def test_tables_hold_a_corner_once_a_word(monkeypatch):
+    """Corners look up the neighbours of their words, so that a block can have many, and what is met is compared half by half."""
+    rng = np.random.default_rng(14)
+    corners = np.concatenate([image_copies._corners(i, np.rint(image_copies.picture(rng.normal(size=8))).astype(np.uint8)) for i in range(40)])
+    half = int(np.flatnonzero(corners["corner"] == 0)[20])
+    tables, rows = image_copies.Tables(corners[:half]), corners[half:]
+    assert sum(len(order) for _, order in tables.parts) == image_copies.WORDS * half
+    apart = [np.bitwise_count(rows[h][:, None] ^ corners[:half][h][None]) for h in ("h0", "h1")]
+    halves = [np.ascontiguousarray(rows[h]) for h in ("h0", "h1")]
+    for frequent in (1, 16, 1 << 40):
+        monkeypatch.setattr(image_copies, "FREQUENT", frequent)
+        for part in range(image_copies.WORDS):
+            words = [image_copies._word(x["h0"], x["h1"], part) for x in (rows, corners[:half])]
+            near = (np.bitwise_count(words[0][:, None] ^ words[1][None]) <= 1) & (apart[part // 3] <= 5) & (apart[0] + apart[1] <= image_copies.MOST_BITS)
+            met = [pair for m, q in tables._met(halves, part) for pair in zip(m.tolist(), q.tolist(), strict=True)]
+            assert sorted(met) == sorted(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+
+
 def test_lines_that_are_like_no_other_are_not_moved(spark):
     keyed = spark.range(-3000, 3000).select(F.xxhash64("id").alias("k1"), "id")
     keys = keyed.filter("id % 10 = 0").select("k1")
