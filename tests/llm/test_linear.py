@@ -204,7 +204,7 @@ def test_tables_hold_a_corner_once_a_word(monkeypatch):
         for part in range(image_copies.WORDS):
             words = [image_copies._word(x["h0"], x["h1"], part) for x in (rows, corners[:half])]
             near = (np.bitwise_count(words[0][:, None] ^ words[1][None]) <= 1) & (apart[part // 3] <= 5) & (apart[0] + apart[1] <= image_copies.MOST_BITS)
-            met = [pair for m, q in tables._met(halves, part) for pair in zip(m.tolist(), q.tolist(), strict=True)]
+            met = [pair for m, q, *_ in tables._met(halves, part) for pair in zip(m.tolist(), q.tolist(), strict=True)]
             assert sorted(met) == sorted(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
 
 
